@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import syntax
+from codestrata.llm import packing, syntax, tokens
 from codestrata.sources.tables import table
 
 
@@ -21,5 +23,26 @@ def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
     return syntax.rates(syntax.judge_files(table(spark, folder, "source_files")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_rates)}
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode(table(spark, folder, "documents"))
+
+
+def _filled(spark: SparkSession, folder: str) -> DataFrame:
+    containers = table(spark, folder, "containers")
+    documents = table(spark, folder, "documents")
+    parts = []
+    for name in sorted(r[0] for r in containers.select("tokenizer").distinct().collect()):  # a fixed table of 3 rows
+        parts.append(packing.fill(tokens.token_counts(documents, name), containers.where(F.col("tokenizer") == name)))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def p8_bins(spark: SparkSession, folder: str) -> DataFrame:
+    return _filled(spark, folder)
+
+
+def p8_usage(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.usage(_filled(spark, folder), table(spark, folder, "containers"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_rates, p7_ids, p8_bins, p8_usage)}
 ORACLE: dict[str, str] = {}
