@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import packing, syntax, tokens
+from codestrata.llm import nearduplicates, packing, syntax, tokens
 from codestrata.sources.tables import table
 
 
@@ -23,6 +23,18 @@ def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
     return syntax.rates(syntax.judge_files(table(spark, folder, "source_files")))
 
 
+def _similar(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return nearduplicates.near_duplicates(table(spark, folder, "nodes").select("id", "content"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return nearduplicates.record_pairs(*_similar(spark, folder))
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return nearduplicates.groups(*_similar(spark, folder))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"))
 
@@ -44,5 +56,5 @@ def p8_usage(spark: SparkSession, folder: str) -> DataFrame:
     return packing.usage(_filled(spark, folder), table(spark, folder, "containers"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_rates, p7_ids, p8_bins, p8_usage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_rates, p2_found, p2_groups, p7_ids, p8_bins, p8_usage)}
 ORACLE: dict[str, str] = {}
