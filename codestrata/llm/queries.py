@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import nearduplicates, packing, syntax, tokens
+from codestrata.llm import nearduplicates, origin, packing, syntax, tokens
 from codestrata.sources.tables import table
 
 
@@ -35,6 +35,22 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return nearduplicates.groups(*_similar(spark, folder))
 
 
+def _found_files(spark: SparkSession, folder: str) -> DataFrame:
+    return origin.not_handwritten(table(spark, folder, "nodes"), table(spark, folder, "projects"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _found_files(spark, folder).drop("kind")
+
+
+def p4_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    return _found_files(spark, folder)
+
+
+def p4_handwritten(spark: SparkSession, folder: str) -> DataFrame:
+    return origin.handwritten(table(spark, folder, "nodes"), _found_files(spark, folder))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"))
 
@@ -56,5 +72,5 @@ def p8_usage(spark: SparkSession, folder: str) -> DataFrame:
     return packing.usage(_filled(spark, folder), table(spark, folder, "containers"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_rates, p2_found, p2_groups, p7_ids, p8_bins, p8_usage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_rates, p2_found, p2_groups, p4_found, p4_kinds, p4_handwritten, p7_ids, p8_bins, p8_usage)}
 ORACLE: dict[str, str] = {}
