@@ -51,7 +51,7 @@ _PACKAGE = re.compile(r"^\s*package\s+([\w.]+)", re.M)
 _SOURCE_ROOT = re.compile(r"(?:^|/)src/(?:main|test|it)/(?:java|kotlin|scala|groovy)/(.*)$")
 _HEX_LINE = re.compile(r"^(?:[0-9a-f]{6,16}[:\s]\s*)?(?:[0-9a-f]{2,8}[ \t]+){7,}[0-9a-f]{2,8}\b", re.I | re.M)
 _NUMBER = re.compile(r"(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)[LlFfDd]?(?![\w.])")
-_WORD = re.compile(r"[A-Za-z_$][\w$]*")
+_WORD = re.compile(r"(?<![\w$])[A-Za-z_$][\w$]*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/=]{200,}")
 _NO_DIGITS = {ord(c): None for c in "0123456789"}
 _CODE_LANGUAGES = {"java", "js", "mjs", "ts", "kt", "scala", "groovy", "py", "c", "cc", "cpp", "h", "cs", "go", "rb", "php", "css"}
