@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import nearduplicates, origin, packing, syntax, tokens
+from codestrata.llm import nearduplicates, origin, packing, syntax, tokens, toxicity
 from codestrata.sources.tables import table
 
 
@@ -72,5 +72,21 @@ def p8_usage(spark: SparkSession, folder: str) -> DataFrame:
     return packing.usage(_filled(spark, folder), table(spark, folder, "containers"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_rates, p2_found, p2_groups, p4_found, p4_kinds, p4_handwritten, p7_ids, p8_bins, p8_usage)}
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder).where("toxic").select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder)
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.rates(_scored(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_rates, p2_found, p2_groups, p4_found, p4_kinds, p4_handwritten, p7_ids, p8_bins, p8_usage, p9_found, p9_scores, p9_rates)}
 ORACLE: dict[str, str] = {}
