@@ -93,12 +93,13 @@ def pack(items: list[tuple[int, tuple]], capacity: int) -> list[list[tuple[int,
     return bins
 
 
-def fill(sizes: DataFrame, containers: DataFrame, shard_documents: int = SHARD_DOCUMENTS) -> DataFrame:
+def fill(sizes: DataFrame, containers: DataFrame, documents: int, shard_documents: int = SHARD_DOCUMENTS) -> DataFrame:
     """(container, bin_id, doc_id, part_no, tokens) for every document of `sizes` (doc_id, tokens) and every container.
 
-    `containers` (container, capacity) is a fixed table of a few rows; it is broadcast.
+    `containers` (container, capacity) is a fixed table of a few rows; it is broadcast. `documents` is the number of
+    rows of `sizes`: the caller counts them before they are encoded.
     """
-    n = sizes.select("doc_id").count()
+    n = documents
     shards = max(1, -(-n // shard_documents))
     kinds = containers.where(F.col("capacity") > 0).select("container", F.col("capacity").cast("long")).distinct()
     items = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).join(F.broadcast(kinds))

@@ -60,7 +60,7 @@ def _filled(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     parts = []
     for name in sorted(r[0] for r in containers.select("tokenizer").distinct().collect()):  # a fixed table of 3 rows
-        parts.append(packing.fill(tokens.token_counts(documents, name), containers.where(F.col("tokenizer") == name)))
+        parts.append(packing.fill(tokens.token_counts(documents, name), containers.where(F.col("tokenizer") == name), documents.count()))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
