@@ -28,15 +28,23 @@ from codestrata.llm.lexicon import Lexicon, compile_lexicon
 
 LEXICON_WORDS = 16_384
 WORD_BYTES = 48
+WORD_SHARE = 7e-7
 #: Chunks that a worker keeps with their ids; beyond, it starts anew.
 MEMO = 400_000
 
 
 def frequent_words(documents: DataFrame, limit: int = LEXICON_WORDS) -> list[str]:
-    """The `limit` most frequent words between blanks, of at most WORD_BYTES bytes: counts are combined before the shuffle."""
+    """The `limit` most frequent words between blanks, of at most WORD_BYTES bytes: counts are combined before the shuffle.
+
+    Only words that occur once in 1/WORD_SHARE of the corpus's characters are candidates: with their blanks they take
+    two characters at least, so there are at most 1/(2 WORD_SHARE) of them at any size.
+    """
     words = documents.select(F.explode(F.split("text", "[ \n\r\t]")).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where((F.col("word") != "") & (F.octet_length("word") <= WORD_BYTES) & (F.col("n") > 1))
-    return [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(limit).select("word").collect()]
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    total = F.broadcast(documents.agg(F.sum(F.length("text")).alias("total")))
+    often = counts.join(total, F.col("n") > F.greatest(F.col("total") * WORD_SHARE, F.lit(1.0)))
+    often = often.where((F.col("word") != "") & (F.octet_length("word") <= WORD_BYTES))
+    return [r[0] for r in often.orderBy(F.desc("n"), "word").limit(limit).select("word").collect()]
 
 
 def publish_lexicon(spark: SparkSession, documents: DataFrame, tokenizer: str, folder: str | None = None) -> str:
