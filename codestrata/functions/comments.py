@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def remove_comments(text: str | None) -> str | None:
@@ -31,7 +32,7 @@ def remove_comments(text: str | None) -> str | None:
     return "\n".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_comments(texts: pd.Series) -> pd.Series:
     """Column form of `remove_comments`."""
     return texts.map(remove_comments)

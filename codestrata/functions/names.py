@@ -78,7 +78,7 @@ def node_key(class_name: Column, method_name: Column) -> Column:
 
 def declaring_class(hover: Column) -> Column:
     """The class before `.method(` in a hover signature; null if there is none."""
-    found = F.regexp_extract(hover, r"^(?:@[\w.]+(?:\([^)]*\))?\s+)*(?:[\w.$]+(?:<[^<>]*>)?(?:\[\])*\s+)?([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\.[A-Za-z_$][\w$]*\(", 1)
+    found = F.regexp_extract(hover, r"^(?:@[\w.]+(?:\([^)]*\))?\s+)*(?:[\w.$]+(?:<[^<>]*>)?(?:\[\])*\s+)*([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\.[A-Za-z_$][\w$]*\(", 1)
     return F.nullif(found, F.lit(""))
 
 
