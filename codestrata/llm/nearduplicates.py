@@ -278,6 +278,7 @@ def class_pairs(records: DataFrame, signed: DataFrame, threshold: float = THRESH
 
 def near_duplicates(records: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, least: int = LEAST_WORDS, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """Membership (id, d1, d2) of the classes and the pairs (a, b) of similar classes of records (id, content)."""
+    records = records.select("id", "content")
     signed = cut(sign(records, least))
     pairs = cut(class_pairs(records, signed, threshold, miss, least, bucket))
     return signed.select("id", "d1", "d2").distinct(), pairs
