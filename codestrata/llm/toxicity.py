@@ -50,7 +50,7 @@ READINGS = {
     "0": "o", "1": "li", "3": "e", "4": "a", "5": "s", "6": "éeb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c", "£": "l",
     "c": "eoé", "e": "coé", "o": "ac", "a": "o", "l": "it", "i": "lt", "f": "st", "t": "fl", "s": "f", "u": "n", "n": "u", "h": "b", "b": "h", "q": "g", "g": "q", "y": "v", "v": "y", "ä": "a", "é": "e", "è": "e", "ê": "e", "ü": "u", "ö": "o", "à": "a",
 }
-MERGED = {"vv": "w", "rn": "m", "cl": "d", "ii": "u", "li": "h", "ri": "n", "ph": "f", "ck": "ck"}
+MERGED = {"vv": "w", "rn": "m", "cl": "d", "ii": "u", "li": "h", "ri": "n"}
 SEPARATORS = ".-_*·^~'’`´,:;•|/\\=¬­"
 
 _CLASSES = str.maketrans("co0a4@6é3èêëàâä€(öoli1!|jtfs5$7+£ßunühb8gq9vy", "eeeeeeeeeeeeeeeeeeeiiiiiiiiiiiiiiinnnhhhgggvv")
@@ -90,27 +90,31 @@ class CharacterModel:
 
 
 def restore(token: str, model: CharacterModel) -> str:
-    """The cheapest reading of a token: Viterbi over its lattice; states are the last two characters."""
-    best: list[dict[str, tuple[float, str]]] = [{} for _ in range(len(token) + 1)]
-    best[0]["^^"] = (0.0, "")
+    """The cheapest reading of a token: Viterbi over its lattice; states are the last two characters.
 
-    def step(at: int, context: str, cost: float, text: str) -> None:
-        if context not in best[at] or cost < best[at][context][0]:
-            best[at][context] = (cost, text)
+    At most one character in four is read as another, once at least; separators and repetitions go freely.
+    """
+    limit = max(1, len(token) // 4)
+    best: list[dict[tuple[str, int], tuple[float, str]]] = [{} for _ in range(len(token) + 1)]
+    best[0]["^^", 0] = (0.0, "")
+
+    def step(at: int, context: str, edits: int, cost: float, text: str) -> None:
+        if edits <= limit and ((context, edits) not in best[at] or cost < best[at][context, edits][0]):
+            best[at][context, edits] = (cost, text)
 
     for k, c in enumerate(token):
-        for context, (cost, text) in list(best[k].items()):
-            for emitted, paid in ((c, 0.05), *((r, 2.2) for r in READINGS.get(c, ""))):
+        for (context, edits), (cost, text) in list(best[k].items()):
+            for emitted, paid, more in ((c, 0.05, 0), *((r, 2.2, 1) for r in READINGS.get(c, ""))):
                 if emitted.isalpha() or emitted == "-":
-                    step(k + 1, context[1] + emitted, cost + paid + model.cost(context, emitted), text + emitted)
+                    step(k + 1, context[1] + emitted, edits + more, cost + paid + model.cost(context, emitted), text + emitted)
             pair = MERGED.get(token[k : k + 2])
-            if pair and len(pair) == 1:
-                step(k + 2, context[1] + pair, cost + 2.2 + model.cost(context, pair), text + pair)
+            if pair:
+                step(k + 2, context[1] + pair, edits + 1, cost + 2.2 + model.cost(context, pair), text + pair)
             if c in SEPARATORS:
-                step(k + 1, context, cost + 1.0, text)
+                step(k + 1, context, edits, cost + 1.0, text)
             if text and (c == text[-1] or text[-1] in READINGS.get(c, "")):
-                step(k + 1, context, cost + 1.6, text)
-    ends = [(cost + model.cost(context, "$"), text) for context, (cost, text) in best[-1].items()]
+                step(k + 1, context, edits + (c != text[-1]), cost + 1.6, text)
+    ends = [(cost + model.cost(context, "$"), text) for (context, _), (cost, text) in best[-1].items()]
     return min(ends)[1] if ends else token
 
 
