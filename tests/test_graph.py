@@ -119,7 +119,7 @@ def test_names(spark):
     assert tuple(row) == ("com.x.A", "a.b.D", "/v1/x", "com.y.Z", "f(a , Map<K>)")
     kept = spark.range(1).select(filters.project_names(F.array(*[F.lit(x) for x in ("String", "a.B", "java.util.List", None, "a.B", "List<T>")]))).head()[0]
     assert kept == ["a.B"]
-    assert comments.remove_comments('a // b\n/* x\ny */ c\nd /* e */ f') == "a \n\n c\nd           f"
+    assert comments.remove_comments('a // b\n/* x\ny */ c\nd /* e */ f') == "a \n\n c\nd" + 9 * " " + "f"
 
 
 JAVA = """package p.q;
