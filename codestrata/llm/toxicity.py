@@ -113,7 +113,7 @@ def restore(token: str, model: CharacterModel) -> str:
             if c in SEPARATORS:
                 step(k + 1, context, edits, cost + 1.0, text)
             if text and (c == text[-1] or text[-1] in READINGS.get(c, "")):
-                step(k + 1, context, edits + (c != text[-1]), cost + 1.6, text)
+                step(k + 1, context, edits + (c != token[k - 1]), cost + 1.6, text)
     ends = [(cost + model.cost(context, "$"), text) for (context, _), (cost, text) in best[-1].items()]
     return min(ends)[1] if ends else token
 
