@@ -85,3 +85,22 @@ def declaring_class(hover: Column) -> Column:
 def text_of_line(text: Column, line: Column) -> Column:
     """Line number `line`, from 0, of a text; null beyond its end."""
     return F.get(F.split(text, "\n"), line)
+
+
+def path_of_uri(uri: Column) -> Column:
+    """The path of a file URI, decoded and with '/'; other texts stay, null stays null."""
+    path = F.replace(F.url_decode(F.regexp_replace(F.regexp_replace(uri, r"^file://", ""), r"\+", "%2B")), F.lit("\\"), F.lit("/"))
+    return F.when(F.startswith(uri, F.lit("file://")), F.regexp_replace(path, r"^/(?=[A-Za-z]:/)", "")).otherwise(uri)
+
+
+def position_of(text: Column, index: Column) -> Column:
+    """Line and column, from 0, of a character's index in a text."""
+    before = F.substr(text, F.lit(1), index)
+    return F.struct((F.size(F.split(before, "\n")) - 1).alias("line"), F.length(F.substring_index(before, "\n", -1)).alias("column"))
+
+
+def index_of(text: Column, line: Column, column: Column) -> Column:
+    """The character's index of a line and column, from 0; null beyond the last line."""
+    lines = F.split(text, "\n")
+    before = F.aggregate(F.slice(lines, F.lit(1), line), F.lit(0), lambda n, x: n + F.length(x) + 1)
+    return F.when(line < F.size(lines), before + column)

@@ -13,6 +13,8 @@ from codestrata.functions import endpoints, filters
 from codestrata.operators import symbols
 from codestrata.schema import CHUNK
 
+#: Advice on methods that carry an annotation.
+ADVICE = r"@(?:Around|Before|After)\s*\(\s*(?:value\s*=\s*)?\"@annotation\(([\w.]+)\)"
 _TEXTS = "cast(array() as array<string>)"
 
 
@@ -20,6 +22,17 @@ def _set(column: str):
     return F.sort_array(F.collect_set(column))
 
 
+def _known(name, imports: str = "imports"):
+    """A simple name by the imports; dotted and other names stay."""
+    return F.coalesce(F.try_element_at(F.col(imports), name), name)
+
+
+def _annotation_names(texts: str):
+    """Full names of annotations, those of frameworks left out."""
+    full = F.transform(texts, lambda a: _known(F.regexp_extract(a, r"^@([\w.]+)", 1)))
+    return F.filter(full, lambda n: ~filters.is_framework(n))
+
+
 def build(classes: DataFrame, project_id: str | int, branch: str) -> DataFrame:
     """Chunk rows of class facts (java_facts.extract, with file_path and content joined in where wanted)."""
     for name in ("file_path", "content"):
@@ -41,8 +54,8 @@ def build(classes: DataFrame, project_id: str | int, branch: str) -> DataFrame:
         F.col("m.signature").alias("name"), "full_name", F.lit("").alias("body"), F.col("m.shape").alias("ast_hash"),
         F.transform(F.coalesce("calls", F.expr(_TEXTS)), lambda c: F.struct(c.alias("name"), F.expr("cast(array() as array<struct<type:string,value:string>>)").alias("params"))).alias("method_calls"),
         F.coalesce("types", F.expr(_TEXTS)).alias("used_types"), F.expr(_TEXTS).alias("field_access"), F.expr(_TEXTS).alias("inheritance_info"), F.col("found").alias("endpoint"),
-        F.when(F.size("found") > 0, "rest_endpoint").otherwise("regular").alias("type"), F.lit(str(project_id)).alias("project_id"), F.lit(branch).alias("branch"), F.lit(None).cast("string").alias("handles_annotation"),
-        F.transform("m.annotations", lambda a: F.regexp_extract(a, r"^@([\w.]+)", 1)).alias("annotations"),
+        F.when(F.size("found") > 0, "rest_endpoint").otherwise("regular").alias("type"), F.lit(str(project_id)).alias("project_id"), F.lit(branch).alias("branch"), _known(F.nullif(F.regexp_extract(F.concat_ws(" ", "m.annotations"), ADVICE, 1), F.lit(""))).alias("handles_annotation"),
+        _annotation_names("m.annotations").alias("annotations"),
     )
     methods = m.withColumn("found", found).join(calls, key, "left").join(types, key, "left").groupBy("file_id", "full_class_name").agg(F.sort_array(F.collect_list(F.struct("at", method.alias("method")))).alias("ms"))
     rows = classes.join(methods, ["file_id", "full_class_name"], "left").join(used, "full_class_name", "left").join(implementors, "full_class_name", "left")
@@ -51,6 +64,6 @@ def build(classes: DataFrame, project_id: str | int, branch: str) -> DataFrame:
         "package", "class_name", "full_class_name", "file_path", "content", F.col("shape").alias("ast_hash"), F.when(F.col("is_abstract"), F.coalesce("implements", none)).otherwise(none).alias("implements"),
         F.coalesce(F.transform("ms", lambda x: x["method"]), F.array().cast(CHUNK["methods"].dataType)).alias("methods"), "parent_class", F.lit(str(project_id)).alias("project_id"), F.lit(branch).alias("branch"),
         F.coalesce("class_used", none).alias("used_types"), "is_nested", F.when(filters.is_configuration(F.col("annotations"), F.col("supertypes")), "configuration").otherwise("regular").alias("type"),
-        (F.col("kind") == "annotation").alias("is_annotation"), F.lit(None).cast("string").alias("handles_annotation"), F.transform("annotations", lambda a: F.regexp_extract(a, r"^@([\w.]+)", 1)).alias("annotations"),
+        (F.col("kind") == "annotation").alias("is_annotation"), _known(F.col("handles")).alias("handles_annotation"), _annotation_names("annotations").alias("annotations"),
     )
     return out.select(*CHUNK.names)

@@ -43,3 +43,26 @@ def implementations(classes: DataFrame, table: DataFrame) -> DataFrame:
     """(implementor, supertype) pairs, resolved."""
     refs = classes.select("file_id", "full_class_name", "package", "imports", F.explode("supertypes").alias("name"))
     return resolve_types(refs, table).where("resolved is not null").select(F.col("full_class_name").alias("implementor"), F.col("resolved").alias("supertype")).distinct()
+
+
+def document_symbols(classes: DataFrame) -> DataFrame:
+    """(file_id, container, name, kind, line) of everything a file declares."""
+    own = classes.select("file_id", F.col("parent_class").alias("container"), F.col("class_name").alias("name"), "kind", F.lit(None).cast("int").alias("line"))
+    methods = classes.select("file_id", F.col("full_class_name").alias("container"), F.explode("methods").alias("m")).select("file_id", "container", F.col("m.name").alias("name"), F.lit("method").alias("kind"), F.col("m.line").alias("line"))
+    return own.unionByName(methods)
+
+
+def workspace_symbols(classes: DataFrame, text: str) -> DataFrame:
+    """Declared names that contain a text, letter case aside."""
+    return document_symbols(classes).where(F.contains(F.lower("name"), F.lit(text.lower())))
+
+
+def references(classes: DataFrame) -> DataFrame:
+    """(callee, caller_class, caller): where a simple name that some class declares is called; the reverse of resolution."""
+    return known_calls(classes).select("callee", "caller_class", "caller")
+
+
+def method_at(places: DataFrame, classes: DataFrame) -> DataFrame:
+    """places (file_id, line, column) with the method whose name stands there: equal file and line, column within the name."""
+    m = classes.select("file_id", "full_class_name", F.explode("methods").alias("m")).select("file_id", "full_class_name", F.col("m.signature").alias("signature"), F.col("m.line").alias("line"), F.col("m.column_start").alias("a"), F.col("m.column_end").alias("b"))
+    return places.join(m, ["file_id", "line"]).where((F.col("column") >= F.col("a")) & (F.col("column") <= F.col("b"))).drop("a", "b")

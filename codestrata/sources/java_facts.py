@@ -1,7 +1,7 @@
 """Declarations, references and structure out of Java sources.
 
 A tokenizer and a descent over declarations, not a full parser: bodies are read as token streams. A file that can't be
-read gives no rows. Positions are those of characters. `extract` runs where files are read, without a shuffle.
+read gives no rows. Positions are those of characters, from 0. `extract` runs where files are read, without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ _TOKEN = re.compile(
 )
 MODIFIERS = frozenset("public protected private static abstract final native synchronized transient volatile strictfp default sealed".split())
 TYPE_KINDS = frozenset(("class", "interface", "enum", "record"))
+HANDLERS = frozenset(("ConstraintValidator",))
 NO_CALL = frozenset("if for while switch catch synchronized return throw new super this assert try do else case".split())
-METHOD = "struct<name:string,signature:string,return_type:string,annotations:array<string>,calls:array<struct<receiver:string,name:string>>,used_types:array<string>,shape:string,is_abstract:boolean>"
+METHOD = "struct<name:string,signature:string,return_type:string,annotations:array<string>,calls:array<struct<receiver:string,name:string>>,used_types:array<string>,shape:string,is_abstract:boolean,line:int,column_start:int,column_end:int>"
 SCHEMA = (
     "file_id long, package string, kind string, class_name string, full_class_name string, parent_class string, is_nested boolean, is_abstract boolean, annotations array<string>, "
-    f"supertypes array<string>, used_types array<string>, imports map<string,string>, shape string, methods array<{METHOD}>"
+    f"supertypes array<string>, handles string, used_types array<string>, imports map<string,string>, shape string, methods array<{METHOD}>"
 )
 
 
@@ -140,7 +141,7 @@ class _Source:
             if k >= len(self.tokens):
                 raise ValueError("no body")
         end = self.skip(k, "{", "}")
-        supers, depth, listing = [], 0, False
+        supers, depth, listing, handles = [], 0, False, None
         for j in range(head + 1, k):
             w = self.word(j)
             depth += (w == "<") - (w == ">")
@@ -150,10 +151,12 @@ class _Source:
                 listing = False
             elif listing and depth == 0 and self.tokens[j][0] == "name" and self.word(j + 1) != ".":
                 supers.append(w)
+                if w in HANDLERS and self.word(j + 1) == "<":  # the first type argument is the annotation that it handles
+                    handles = self.word(j + 2)
         scope = ".".join([self.package] * bool(self.package) + outer)
         own = {
             "kind": kind, "class_name": name, "full_class_name": f"{scope}.{name}" if scope else name, "parent_class": scope if outer else None, "is_nested": bool(outer), "is_abstract": "abstract" in words or kind == "interface",
-            "annotations": notes, "supertypes": supers, "shape": self.shape(start, end), "methods": [], "used_types": [],
+            "annotations": notes, "supertypes": supers, "handles": handles, "shape": self.shape(start, end), "methods": [], "used_types": [],
         }
         self.classes.append(own)
         k += 1
@@ -187,10 +190,12 @@ class _Source:
         end = self.skip(body, "{", "}") if self.word(body) == "{" else body + 1
         if k - 1 > first:  # without a type before its name it is a constructor
             signature = name + re.sub(r"\s+([)>])", r"\1", re.sub(r"([(<])\s+", r"\1", " ".join(self.span(k, shut).split())))
-            has_body = self.word(body) == "{"
+            has_body, at = self.word(body) == "{", self.tokens[k - 1][2]
+            column = at - self.text.rfind("\n", 0, at) - 1
             self.own["methods"].append({
                 "name": name, "signature": signature, "return_type": self.span(first, k - 1), "annotations": notes, "calls": self.calls_in(body, end) if has_body else [],
                 "used_types": self.types_in(start, end), "shape": self.shape(start, end) if has_body else "", "is_abstract": not has_body,
+                "line": self.text.count("\n", 0, at), "column_start": column, "column_end": column + len(name),
             })
         return end
 

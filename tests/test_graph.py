@@ -177,3 +177,20 @@ def test_stream(spark, tmp_path):
     q = import_stream(stream_chunks(spark, str(tmp_path / "in")), lambda: kept[-1], kept.append, str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert kept[-1].nodes.count() == 5
+
+
+def test_symbols_and_positions(spark):
+    from codestrata.operators import chunks, symbols
+
+    sources = [(1, JAVA), (2, 'package v; import p.q.Mark;\nclass Check implements ConstraintValidator<Mark, String> { @Around("@annotation(Mark)") Object wrap() { return other(); } void other() {} }')]
+    classes = java_facts.extract(spark.createDataFrame(sources, "file_id long, content string"))
+    assert {(r.kind, r.name) for r in symbols.document_symbols(classes).where("file_id = 2").collect()} == {("class", "Check"), ("method", "wrap"), ("method", "other")}
+    assert symbols.workspace_symbols(classes, "OUT").count() == 1
+    assert {(r.callee, r.caller) for r in symbols.references(classes).collect()} >= {("other", "wrap()"), ("other", "get(int a, String b)")}
+    line = sources[1][1].split("\n")[1]
+    places = spark.createDataFrame([(2, 1, line.index("wrap") + 1), (2, 1, 0)], "file_id long, line int, column int")
+    assert [r.signature for r in symbols.method_at(places, classes).collect()] == ["wrap()"]
+    built = {r.full_class_name: r for r in chunks.build(classes, 1, "main").collect()}
+    assert built["v.Check"].handles_annotation == "p.q.Mark" and built["v.Check"].methods[0].handles_annotation == "p.q.Mark"
+    row = spark.range(1).select(names.path_of_uri(F.lit("file:///a%20b/C+.java")), names.position_of(F.lit("ab\ncd"), F.lit(4)), names.index_of(F.lit("ab\ncd"), F.lit(1), F.lit(1))).head()
+    assert row[0] == "/a b/C+.java" and tuple(row[1]) == (1, 1) and row[2] == 4
