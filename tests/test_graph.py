@@ -151,6 +151,24 @@ def test_java_facts():
     assert java_facts.facts("class {{{") == [] and java_facts.facts(None) == [] and java_facts.facts("") == []
 
 
+def test_java_facts_of_broken_sources():
+    def got(text):
+        return {c["full_class_name"]: [m["signature"] for m in c["methods"]] for c in java_facts.facts(text)}
+
+    start = "package p; import a.B; class A { void f() { g(); } "
+    assert got(start + "void h(int x) { if (x > 0) { f();") == {"p.A": ["f()", "h(int x)"]}  # cut off in a body
+    assert got(start + "void h(int x, ") == {"p.A": ["f()"]} and got(start + "class C { int k() { return 1; } void") == {"p.A": ["f()"], "p.A.C": ["k()"]}
+    assert got(start + "void h(int a { f(); } void i() { } }") == {"p.A": ["f()", "i()"]}
+    both = got(start + "void h() { if (x) { y(); public void i() { } @N(1) int j() { return 1; } }\nclass D { void k() { } }")
+    assert both == {"p.A": ["f()", "h()", "i()", "j()"], "p.D": ["k()"]}
+    assert got(start + "} } public void i() { } }") == {"p.A": ["f()", "i()"]}
+    assert got(start + "int x = 3 void i() { } }") == {"p.A": ["f()", "i()"]} and got("class A extends B interface C { void f(); }") == {"C": ["f()"]}
+    assert got(start + "\n<<<<<<< HEAD\n  void h(int a) {\n=======\n  void h(long a) {\n>>>>>>> other\n    f(); }\n  void i() { new T() { public void run() { } }; }\n}\n") == {"p.A": ["f()", "h(int a)", "h(long a)", "i()"]}
+    assert java_facts.facts("import a.B\nclass A { }")[0]["imports"] == {"B": "a.B"}
+    for k in range(len(JAVA)):
+        java_facts.facts(JAVA[:k]), java_facts.facts(JAVA[k:])
+
+
 def test_files_and_store(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "X.java").write_bytes("class X { } // \xe9".encode("latin-1"))
