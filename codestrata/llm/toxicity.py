@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,18 +53,50 @@ READINGS = {
 MERGED = {"vv": "w", "rn": "m", "cl": "d", "ii": "u", "li": "h", "ri": "n"}
 SEPARATORS = ".-_*·^~'’`´,:;•|/\\=¬­"
 
-_CLASSES = str.maketrans("co0a4@6é3èêëàâä€(öoli1!|jtfs5$7+£ßunühb8gq9vy", "eeeeeeeeeeeeeeeeeeeiiiiiiiiiiiiiiinnnhhhgggvv")
 _BREAKS = re.compile(r"[-¬=‐‑­]\s*\n\s*")
 _MASKED = re.compile(r"^([a-zà-ÿ]{1,3})(?:[—–*_#.]{2,}|-{2,}|[*#])([a-zà-ÿ]{0,3})$")
 _STRIP = ".,;:!?\"'»«„“”‘’()[]…*☞°"
 
 
-def skeleton(word: str) -> str:
-    """What all readings of a word have in common: separators go, look-alikes fall together, repetitions once."""
-    word = word.translate({ord(c): None for c in SEPARATORS})
-    for pair, one in (("vv", "w"), ("rn", "m"), ("cl", "d")):
-        word = word.replace(pair, one)
-    return re.sub(r"(.)\1+", r"\1", word.translate(_CLASSES))
+class Readable:
+    """Whether a word's lattice has a path that spells one of some words: the moves of `restore`, along a trie, without costs."""
+
+    def __init__(self, words: Iterable[str]):
+        self.root: dict = {}
+        for word in words:
+            node = self.root
+            for c in word:
+                node = node.setdefault(c, {})
+            node[""] = {}
+
+    def __contains__(self, token: str) -> bool:
+        limit, size = max(1, len(token) // 4), len(token)
+        first = {token[0], *READINGS.get(token[0], ""), MERGED.get(token[:2], "")}
+        if token[0] not in SEPARATORS and first.isdisjoint(self.root):
+            return False
+        seen, todo = set(), [(0, "", 0, self.root)]
+        while todo:
+            k, last, edits, node = todo.pop()
+            if k == size:
+                if "" in node:
+                    return True
+                continue
+            if (k, id(node), last, edits) in seen:
+                continue
+            seen.add((k, id(node), last, edits))
+            c = token[k]
+            if c in node and (c.isalpha() or c == "-"):
+                todo.append((k + 1, c, edits, node[c]))
+            if c in SEPARATORS:
+                todo.append((k + 1, last, edits, node))
+            if edits < limit:
+                todo += [(k + 1, r, edits + 1, node[r]) for r in READINGS.get(c, "") if r in node]
+                pair = MERGED.get(token[k : k + 2])
+                if pair in node:
+                    todo.append((k + 2, pair, edits + 1, node[pair]))
+            if last and (c == last or last in READINGS.get(c, "")) and edits + (c != token[k - 1]) <= limit:
+                todo.append((k + 1, last, edits + (c != token[k - 1]), node))
+        return False
 
 
 class CharacterModel:
@@ -123,7 +155,7 @@ class Weigher(dict):
 
     def __init__(self, weights: dict[str, float], known: set[str], model: CharacterModel):
         self.weights, self.known, self.model = weights, known, model
-        self.shapes = {skeleton(w) for w in weights if len(w) >= 3}
+        self.readable = Readable(weights)
         self.ends = [(w, weights[w]) for w in STRONG + COMPANY if weights.get(w, 0) > 0]
 
     def look(self, token: str) -> tuple[str, float] | None:
@@ -137,7 +169,7 @@ class Weigher(dict):
             head, tail = m.groups()
             fits = [(v, w) for w, v in self.ends if w.startswith(head) and w.endswith(tail) and len(w) >= len(head) + len(tail) + 1]
             return (f"{head}*{tail}", 2.0) if fits else None
-        if word in self.known or len(word) < 3 or len(word) > 40 or skeleton(word) not in self.shapes:
+        if word in self.known or len(word) < 3 or len(word) > 40 or word not in self.readable:
             return None
         found = restore(word, self.model)
         if found in self.weights and found not in self.known or self.weights.get(found, 0) > 0:

@@ -18,6 +18,21 @@ def test_restoration():
     assert w["b——d"][0] == "b*d" and w["w——e"] is not None and w["x——q"] is None
 
 
+def test_filter_passes_every_reading():
+    words = [w for w in tx.STRONG + tx.COMPANY if len(w) >= 3]
+    readable = tx.Readable(words)
+    for word in words:
+        assert word in readable
+        for k, c in enumerate(word):
+            singles = [x for x, readings in tx.READINGS.items() if c in readings] + [pair for pair, one in tx.MERGED.items() if one == c]
+            for x in (*singles, *(c + sign for sign in tx.SEPARATORS), c + c):
+                assert word[:k] + x + word[k + 1 :] in readable, (word, k, x)
+    assert not any(w in readable for w in ("council", "river", "xyzzy", "12", "..."))
+    w = weigher()
+    for token, word in (("fiick", "fuck"), ("wliore", "whore"), ("curit", "cunt"), ("bitcli", "bitch"), ("6itch", "bitch"), ("6astard", "bastard"), ("drnnken", "drunken")):
+        assert w[token] is not None and w[token][0] == word, token
+
+
 def test_scores():
     w = weigher()
     assert tx.score(None, w) == tx.score("", w) == tx.score(" \n ", w) == 0.0
