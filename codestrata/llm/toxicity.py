@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,6 +55,7 @@ SEPARATORS = ".-_*·^~'’`´,:;•|/\\=¬­"
 
 _BREAKS = re.compile(r"[-¬=‐‑­]\s*\n\s*")
 _MASKED = re.compile(r"^([a-zà-ÿ]{1,3})(?:[—–*_#.]{2,}|-{2,}|[*#])([a-zà-ÿ]{0,3})$")
+_REPEATED = re.compile(r"(.)\1+")
 _STRIP = ".,;:!?\"'»«„“”‘’()[]…*☞°"
 
 
@@ -70,7 +71,7 @@ class Readable:
             node[""] = {}
 
     def __contains__(self, token: str) -> bool:
-        limit, size = max(1, len(token) // 4), len(token)
+        size, (limit, counts) = len(token), _limit(token)
         first = {token[0], *READINGS.get(token[0], ""), MERGED.get(token[:2], "")}
         if token[0] not in SEPARATORS and first.isdisjoint(self.root):
             return False
@@ -89,13 +90,15 @@ class Readable:
                 todo.append((k + 1, c, edits, node[c]))
             if c in SEPARATORS:
                 todo.append((k + 1, last, edits, node))
+            if edits + counts(c) <= limit:
+                todo += [(k + 1, r, edits + counts(c), node[r]) for r in READINGS.get(c, "") if r in node]
             if edits < limit:
-                todo += [(k + 1, r, edits + 1, node[r]) for r in READINGS.get(c, "") if r in node]
                 pair = MERGED.get(token[k : k + 2])
                 if pair in node:
                     todo.append((k + 2, pair, edits + 1, node[pair]))
-            if last and (c == last or last in READINGS.get(c, "")) and edits + (c != token[k - 1]) <= limit:
-                todo.append((k + 1, last, edits + (c != token[k - 1]), node))
+            more = c != token[k - 1] and counts(c)
+            if last and (c == last or last in READINGS.get(c, "")) and edits + more <= limit:
+                todo.append((k + 1, last, edits + more, node))
         return False
 
 
@@ -121,12 +124,25 @@ class CharacterModel:
         return -math.log(p)
 
 
+def _limit(token: str) -> tuple[int, Callable[[str], bool]]:
+    """How many misreadings count at most, and which characters' count: one in four, once at least.
+
+    Digits and signs, which must be read as letters, use up the limit but aren't held to it, if there is a letter beside
+    them: a number alone is no disguise.
+    """
+    limit = max(1, len(token) // 4)
+    if not any(map(str.isalpha, token)):
+        return limit, lambda c: True
+    signs = sum(not c.isalpha() and c not in SEPARATORS and c != before for before, c in zip(" " + token, token))
+    return max(0, limit - signs), str.isalpha
+
+
 def restore(token: str, model: CharacterModel) -> str:
     """The cheapest reading of a token: Viterbi over its lattice; states are the last two characters.
 
-    At most one character in four is read as another, once at least; separators and repetitions go freely.
+    Misreadings are limited (see `_limit`); separators and repetitions go freely.
     """
-    limit = max(1, len(token) // 4)
+    limit, counts = _limit(token)
     best: list[dict[tuple[str, int], tuple[float, str]]] = [{} for _ in range(len(token) + 1)]
     best[0]["^^", 0] = (0.0, "")
 
@@ -136,7 +152,7 @@ def restore(token: str, model: CharacterModel) -> str:
 
     for k, c in enumerate(token):
         for (context, edits), (cost, text) in list(best[k].items()):
-            for emitted, paid, more in ((c, 0.05, 0), *((r, 2.2, 1) for r in READINGS.get(c, ""))):
+            for emitted, paid, more in ((c, 0.05, 0), *((r, 2.2, counts(c)) for r in READINGS.get(c, ""))):
                 if emitted.isalpha() or emitted == "-":
                     step(k + 1, context[1] + emitted, edits + more, cost + paid + model.cost(context, emitted), text + emitted)
             pair = MERGED.get(token[k : k + 2])
@@ -145,7 +161,7 @@ def restore(token: str, model: CharacterModel) -> str:
             if c in SEPARATORS:
                 step(k + 1, context, edits, cost + 1.0, text)
             if text and (c == text[-1] or text[-1] in READINGS.get(c, "")):
-                step(k + 1, context, edits + (c != token[k - 1]), cost + 1.6, text)
+                step(k + 1, context, edits + (c != token[k - 1] and counts(c)), cost + 1.6, text)
     ends = [(cost + model.cost(context, "$"), text) for (context, _), (cost, text) in best[-1].items()]
     return min(ends)[1] if ends else token
 
@@ -156,6 +172,9 @@ class Weigher(dict):
     def __init__(self, weights: dict[str, float], known: set[str], model: CharacterModel):
         self.weights, self.known, self.model = weights, known, model
         self.readable = Readable(weights)
+        self.once: dict[str, list[str]] = {}  # words by themselves without repetitions
+        for w in weights:
+            self.once.setdefault(_REPEATED.sub(r"\1", w), []).append(w)
         self.ends = [(w, weights[w]) for w in STRONG + COMPANY if weights.get(w, 0) > 0]
 
     def look(self, token: str) -> tuple[str, float] | None:
@@ -172,6 +191,8 @@ class Weigher(dict):
         if word in self.known or len(word) < 3 or len(word) > 40 or word not in self.readable:
             return None
         found = restore(word, self.model)
+        if found not in self.weights:  # a doubled letter may be the word's own
+            found = next((w for w in self.once.get(_REPEATED.sub(r"\1", found), ()) if word in Readable((w,))), found)
         if found in self.weights and found not in self.known or self.weights.get(found, 0) > 0:
             return found, 0.9 * self.weights[found]
         return None

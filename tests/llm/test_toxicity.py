@@ -33,6 +33,14 @@ def test_filter_passes_every_reading():
         assert w[token] is not None and w[token][0] == word, token
 
 
+def test_digits_and_signs_are_not_limited():
+    w = weigher()
+    for token, word in (("5h1t", "shit"), ("wh0r3", "whore"), ("n1gg3r", "nigger"), ("b1tch3s", "bitches"), ("a55hole", "asshole"), ("$h1t", "shit")):
+        assert w[token] is not None and w[token][0] == word, token
+    for token in ("7175", "1755", "$455", "5417", "1st", "75th", "sbif"):  # numbers, and letters beyond the limit
+        assert w[token] is None, token
+
+
 def test_scores():
     w = weigher()
     assert tx.score(None, w) == tx.score("", w) == tx.score(" \n ", w) == 0.0
