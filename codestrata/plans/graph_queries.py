@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import endpoints, filters, names
-from codestrata.operators import branches, edges, importing, lookup, nodes, symbols, traverse
+from codestrata.operators import branches, chunks, edges, importing, lookup, nodes, symbols, traverse
 from codestrata.plans import fixtures
 from codestrata.schema import NODE, REL
+from codestrata.session import cut
 from codestrata.sources import java_facts
 from codestrata.sources.tables import table
 
@@ -520,6 +521,17 @@ def _classes(spark: SparkSession, d: str) -> DataFrame:
     return java_facts.extract(files)
 
 
+@query()
+def source_chunks(spark, d):
+    return chunks.build(cut(_classes(spark, d)), 1, "main")
+
+
+@query()
+def source_import(spark, d):
+    empty = importing.Store(spark.createDataFrame([], NODE), spark.createDataFrame([], REL))
+    return _end_state(importing.import_incremental(empty, cut(source_chunks(spark, d)), importing.Options(main_branch="main")))
+
+
 @query()
 def java_chunks(spark, d):
     return _classes(spark, d).select("file_id", "package", "kind", "full_class_name", "parent_class", "is_nested", F.size("methods").alias("methods"), F.size("imports").alias("imports"))

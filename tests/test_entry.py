@@ -31,3 +31,11 @@ def test_against_sql(spark, name):
     assert sorted(df.columns) == sorted(want.columns)
     order = [want.columns.index(c) for c in df.columns]
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(str(tuple(r[k] for k in order)) for r in want.fetchall())
+
+
+def test_source_files_are_chunked_and_imported(spark):
+    run = entry.queries()
+    built = {r.full_class_name for r in run["source_chunks"](spark, DATA).select("full_class_name").collect()}
+    assert built == {r.full_class_name for r in run["java_chunks"](spark, DATA).collect()} and len(built) > 20
+    ends = run["source_import"](spark, DATA).select("src_class", "dst_class").collect()
+    assert ends and {c for r in ends for c in r} <= built
