@@ -1,9 +1,10 @@
 """References whose target does not exist at the time of the reference.
 
-Parent keys are integers (node ids, or 64-bit hashes of scoped names). Sorted, they are compressed into runs of
-consecutive keys; every distinct referenced key is matched as of the run that starts at or before it, and a key beyond
-that run's end has no parent at all. Keys inside a run have parents, whose lives then decide: a reference is live if
-some parent was created by then and not deleted by then.
+Parent keys are integers: node ids, or for names the number of a scoped name among its block's sorted names. Keys with
+their lives are points and stretches of one line, ordered by key, then time, and are compressed into runs that lives
+cover without a gap. Every reference is a point of the line; it is matched as of the run that starts at or before it and
+is an orphan if it lies beyond that run's end, be it that its key is in no run or that the time is before or after the
+key's lives. Runs and references of a block of keys meet in one shuffle and one sort; nothing is joined.
 
 Null and empty values: a null or blank target is no reference; a null `recorded_at` is live only for framework
 targets, and a null `created_at` never starts a life, as comparisons with null don't hold. Repeated rows give one row.
@@ -17,18 +18,18 @@ from pyspark.sql import functions as F
 
 from codestrata.operators.skew import hot_keys, spread
 
-ID_BLOCK_BITS = 16
-HASH_BLOCK_BITS = 44
+BLOCK_KEYS = 1 << 12  # keys of a block, about: what one sort holds beside the references to them
+_BLANKS = " \t\n\x0b\f\r\u00a0"
 
 
 def without_blanks(name: Column) -> Column:
     """The name with every blank taken out."""
-    return F.regexp_replace(name, r"[\s ]+", "")
+    return F.translate(name, _BLANKS, "")
 
 
 def type_name(name: Column) -> Column:
     """A type's name without blanks, generic arguments and array brackets."""
-    return F.regexp_extract(without_blanks(name), r"^([^<\[]*)", 1)
+    return without_blanks(F.substring_index(F.substring_index(name, "<", 1), "[", 1))
 
 
 def is_project_type(name: Column) -> Column:
@@ -36,50 +37,43 @@ def is_project_type(name: Column) -> Column:
     return name.contains(".") & ~name.startswith("java.") & ~name.startswith("javax.")
 
 
-def key_runs(keys: DataFrame, bits: int) -> DataFrame:
-    """Distinct integer keys (`k`) as runs (block, run_start, run_end) of consecutive keys.
+def on_line(refs: DataFrame, parents: DataFrame, blocks: int | None = None) -> DataFrame:
+    """Points and run stretches of one line: (block, salt, k, t, asks, end, row); a null end is none.
 
-    Blocks of 2^bits keys are compressed on their own, so that no task holds more than one block's keys; a run is cut
-    at a block's edge.
+    refs (key, at, ...) ask; parents (key, born, died) are stretches from born to died. Integer keys are their own
+    numbers, in blocks of consecutive ones; names are put into `blocks` blocks by hash and numbered there in sorted
+    order, known and asked ones together, so that only equal names have one number. References to hot keys are spread
+    over salts, which repeat those keys' stretches.
     """
-    block = F.shiftright("k", bits).alias("block")
-    ordered = Window.partitionBy("block").orderBy("k")
-    numbered = keys.select("k", block).distinct().withColumn("island", F.col("k") - F.row_number().over(ordered))
-    return numbered.groupBy("block", "island").agg(F.min("k").alias("run_start"), F.max("k").alias("run_end")).drop("island")
-
-
-def beyond_runs(wanted: DataFrame, runs: DataFrame, bits: int) -> DataFrame:
-    """Distinct keys `k` of `wanted` that lie in no run: as-of match to the preceding run start, in one sort per block."""
-    asked = wanted.select("k").distinct().select(F.shiftright("k", bits).alias("block"), "k", F.lit(1).alias("asks"), F.lit(None).cast("long").alias("run_end"))
-    starts = runs.select("block", F.col("run_start").alias("k"), F.lit(0).alias("asks"), "run_end")
-    upto = Window.partitionBy("block").orderBy("k", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    matched = starts.unionByName(asked).withColumn("run_end", F.last("run_end", ignorenulls=True).over(upto))
-    return matched.where((F.col("asks") == 1) & (F.col("run_end").isNull() | (F.col("k") > F.col("run_end")))).select("k")
+    refs = refs.withColumn("row", F.struct(*refs.columns)).select("key", "at", "row")
+    left, right = spread(refs, parents, "key", hot_keys(refs, "key"))
+    asks = left.select("key", "salt", F.col("at").alias("t"), F.lit(True).alias("asks"), "row")
+    starts = right.where(F.col("key").isNotNull() & F.col("born").isNotNull()).select("key", "salt", F.col("born").alias("t"), F.lit(False).alias("asks"), F.col("died").alias("end"))
+    line = starts.unionByName(asks, allowMissingColumns=True)
+    if blocks is None:
+        return line.withColumn("block", F.floor(F.col("key") / BLOCK_KEYS)).withColumnRenamed("key", "k")
+    line = line.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    number = F.dense_rank().over(Window.partitionBy("block", "salt").orderBy("key"))
+    # sorted once for the numbers and the runs
+    return line.repartition("block", "salt").sortWithinPartitions("block", "salt", "key", "t", "asks").withColumn("k", number)
+
+
+def beyond_runs(line: DataFrame) -> DataFrame:
+    """Rows of a line that ask and lie beyond the end of the run that starts at or before them, or before any.
+
+    Going up the line, the furthest end seen so far, as (key, time), is the end of the run that is open there: a
+    stretch that starts within it lengthens it, one that starts beyond it opens the next run.
+    """
+    upto = Window.partitionBy("block", "salt").orderBy("k", "t", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(~F.col("asks"), F.struct("k", F.col("end").isNull().alias("endless"), "end"))).over(upto)
+    matched = line.withColumn("reach", reach).where("asks")
+    inside = (F.col("reach.k") == F.col("k")) & F.col("t").isNotNull() & (F.col("reach.endless") | (F.col("reach.end") > F.col("t")))
+    return matched.where(~F.coalesce(inside, F.lit(False))).select("row.*")
 
 
 def lives(parents: DataFrame) -> DataFrame:
-    """Lives (k, name, born, died) of parent keys; those with one end are folded into the earliest start."""
-    return parents.groupBy("k", "name", "died").agg(F.min("born").alias("born"))
-
-
-def orphans(refs: DataFrame, parents: DataFrame, bits: int) -> DataFrame:
-    """Rows of `refs` (k, name, at, ...) that no life of `parents` (k, name, born, died) covers.
-
-    `k` decides by runs, `name` confirms it where k is a hash. Hot keys are salted; the reference rows are
-    shuffled once, by (k, salt), for both joins.
-    """
-    missing = beyond_runs(refs, key_runs(parents.select("k"), bits), bits).withColumn("missing", F.lit(True))
-    spans = lives(parents)
-    hot = hot_keys(refs, "k")
-    left, missing = spread(refs, missing, "k", hot)
-    _, spans = spread(refs, spans, "k", hot)
-    spans = spans.select(F.col("k").alias("pk"), F.col("salt").alias("psalt"), F.col("name").alias("pname"), "born", "died")
-    told = left.join(missing, ["k", "salt"], "left")
-    covered = (
-        (F.col("k") == F.col("pk")) & (F.col("salt") == F.col("psalt")) & F.col("missing").isNull() & (F.col("name") == F.col("pname"))
-        & (F.col("born") <= F.col("at")) & (F.col("died").isNull() | (F.col("died") > F.col("at")))
-    )
-    return told.join(spans, covered, "left_anti").drop("salt", "missing")
+    """Lives (key, born, died) of parent keys; those with one end are folded into the earliest start, before any shuffle."""
+    return parents.groupBy("key", "died").agg(F.min("born").alias("born"))
 
 
 def orphan_references(relationships: DataFrame, method_deps: DataFrame, nodes: DataFrame, tombstones: DataFrame, framework_nodes: DataFrame) -> DataFrame:
@@ -90,19 +84,18 @@ def orphan_references(relationships: DataFrame, method_deps: DataFrame, nodes: D
     dead = tombstones.where(F.col("deleted_at").isNotNull() & F.col("node_id").isNotNull()).groupBy("node_id").agg(F.min("deleted_at").alias("died"))
     lived = nodes.where(F.col("id").isNotNull()).select("id", "project_id", "class_name", "method_name", F.col("created_at").alias("born")).join(dead, F.col("id") == F.col("node_id"), "left")
 
-    by_id = lived.select(F.col("id").alias("k"), F.lit("").alias("name"), "born", "died")
-    links = relationships.where(F.col("end_node").isNotNull()).select(F.col("end_node").alias("k"), F.lit("").alias("name"), F.col("recorded_at").alias("at"), F.col("id").alias("row_id"), F.col("end_node").cast("string").alias("target"))
-    links = links.join(framework_nodes.select(F.col("node_id").alias("k")).distinct(), "k", "left_anti")
-    orphan_links = orphans(links, by_id, ID_BLOCK_BITS).select(F.lit("relationships").alias("table_name"), F.lit("end_node").alias("field_name"), "row_id", "target", F.col("at").alias("recorded_at"))
+    by_id = lived.select(F.col("id").alias("key"), "born", "died")
+    links = relationships.where(F.col("end_node").isNotNull()).select(F.col("end_node").alias("key"), F.col("recorded_at").alias("at"), F.col("id").alias("row_id"))
+    links = links.join(framework_nodes.select(F.col("node_id").alias("key")).distinct(), "key", "left_anti")
+    orphan_links = beyond_runs(on_line(links, by_id)).select(F.lit("relationships").alias("table_name"), F.lit("end_node").alias("field_name"), "row_id", F.col("key").cast("string").alias("target"), F.col("at").alias("recorded_at"))
 
     def scoped(kind: Column, project: Column, name: Column) -> Column:
         return F.concat_ws("\u0001", kind, project, name)
 
     method, owner = without_blanks(F.col("method_name")), without_blanks(F.col("class_name"))
     named = lived.where(F.col("project_id").isNotNull()).select(
-        F.when(F.col("method_name").isNotNull(), scoped(F.lit("method_calls"), F.col("project_id"), method)).otherwise(scoped(F.lit("used_types"), F.col("project_id"), owner)).alias("name"), "born", "died"
+        F.when(F.col("method_name").isNotNull(), scoped(F.lit("method_calls"), F.col("project_id"), method)).otherwise(scoped(F.lit("used_types"), F.col("project_id"), owner)).alias("key"), "born", "died"
     )
-    named = named.select(F.xxhash64("name").alias("k"), "name", "born", "died")
     deps = method_deps.select("dep_id", "project_id", F.col("recorded_at").alias("at"), "method_calls", "used_types")
     each = deps.select(
         "dep_id", "project_id", "at",
@@ -112,10 +105,9 @@ def orphan_references(relationships: DataFrame, method_deps: DataFrame, nodes: D
         )).alias("part"),
     ).select("dep_id", "project_id", "at", F.col("part.field").alias("field"), F.explode("part.names").alias("target")).where(F.col("target") != "")
     known = framework_nodes.select(F.lit("used_types").alias("field"), owner.alias("target")).unionByName(framework_nodes.select(F.lit("method_calls").alias("field"), method.alias("target"))).where(F.col("target").isNotNull()).distinct()
-    each = each.distinct().join(known, ["field", "target"], "left_anti")
-    asked = each.withColumn("name", scoped(F.col("field"), F.coalesce(F.col("project_id"), F.lit("\u0002")), F.col("target")))
-    asked = asked.select(F.xxhash64("name").alias("k"), "name", "at", F.col("dep_id").alias("row_id"), "field", "target")
-    orphan_names = orphans(asked, named, HASH_BLOCK_BITS).select(F.lit("method_deps").alias("table_name"), F.col("field").alias("field_name"), "row_id", "target", F.col("at").alias("recorded_at"))
+    asked = each.join(known, ["field", "target"], "left_anti").select(scoped(F.col("field"), F.coalesce(F.col("project_id"), F.lit("\u0002")), F.col("target")).alias("key"), "at", F.col("dep_id").alias("row_id"), "field", "target")
+    blocks = nodes.count() // BLOCK_KEYS + int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    orphan_names = beyond_runs(on_line(asked, lives(named), blocks)).select(F.lit("method_deps").alias("table_name"), F.col("field").alias("field_name"), "row_id", "target", F.col("at").alias("recorded_at"))
     return orphan_links.unionByName(orphan_names).distinct()
 
 

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from codestrata.operators import hierarchy, references, skew, snapshots
 
@@ -41,19 +42,29 @@ def test_orphans_of_empty_tables(spark):
     assert orphans(spark, rels=[(1, "CALL", 1, 7, T(1), None, None)]) == [("end_node", 1, "7")]
 
 
-def test_runs_and_hot_keys(spark):
+@pytest.mark.parametrize("named", [False, True])
+def test_line_against_lives_with_hot_keys(spark, named):
     random.seed(3)
-    have = {random.randrange(-300_000, 300_000) for _ in range(400)} | set(range(100, 200))
-    asked = [random.choice(sorted(have)) + random.choice((0, 0, 1)) for _ in range(500)] + [150] * 3000 + [250] * 3000
-    keys = spark.createDataFrame([(k,) for k in have], "k long")
-    wanted = spark.createDataFrame([(k,) for k in asked], "k long")
-    runs = references.key_runs(keys, 16)
-    assert runs.count() < len(have)
-    assert {r[0] for r in references.beyond_runs(wanted, runs, 16).collect()} == set(asked) - have
-    hot = skew.hot_keys(wanted, "k")
-    assert sorted(hot) == [150, 250]
-    left, right = skew.spread(wanted, keys, "k", hot)
-    assert left.join(right, ["k", "salt"]).count() == sum(k in have for k in asked)
+    at = lambda k: None if k is None else dt.datetime(2025, 1, 1) + dt.timedelta(hours=k)
+    key = (lambda k: f"n{k}") if named else (lambda k: k)
+    parents = [(random.choice((random.randrange(-9000, 9000), random.randrange(100, 160))), random.randrange(90), random.choice((None, 20, 40, 60, 80))) for _ in range(600)] + [(150, 30, 50), (150, 45, 70), (None, 1, None), (7, None, None)]
+    asked = [(random.choice((random.choice(parents)[0] or 0, random.randrange(90, 170))) + random.choice((0, 0, 1)), random.choice((None, *range(100)))) for _ in range(900)] + [(150, k % 100) for k in range(3000)] + [(-20_000, 5)] * 2000
+    make = lambda rows, schema: spark.createDataFrame([(None if k is None else key(k), *map(at, rest)) for k, *rest in rows], f"key {'string' if named else 'long'}, {schema}")
+    refs = make(asked, "at timestamp").withColumn("row_id", F.monotonically_increasing_id())
+    spans = references.lives(make(parents, "born timestamp, died timestamp"))
+    assert sorted(skew.hot_keys(refs, "key"), key=str) == sorted((key(150), key(-20_000)), key=str)
+    line = references.on_line(refs, spans, 3 if named else None)
+    assert line.where("asks").count() == len(asked)
+    live = lambda k, t: t is not None and any(p == k and b is not None and b <= t and (d is None or d > t) for p, b, d in parents)
+    want = sorted((str(key(k)), str(at(t))) for k, t in asked if not live(k, t))
+    assert sorted((str(r.key), str(r.at)) for r in references.beyond_runs(line).collect()) == want
+
+
+def test_spread_keeps_rows(spark):
+    left = spark.createDataFrame([(1, k) for k in range(3000)] + [(2, 0), (3, 0)], "k long, n int")
+    right = spark.createDataFrame([(1,), (3,)], "k long")
+    a, b = skew.spread(left, right, "k", skew.hot_keys(left, "k"))
+    assert a.join(b, ["k", "salt"]).count() == 3001
 
 
 def walk(parent, v):
