@@ -1,8 +1,10 @@
 """Endpoints and message consumers out of annotation texts, as arrays of structs, in columns only.
 
-Each extractor takes the annotation's text and, where it needs them, the class's annotations, all annotations of the
-method, the return type and the parameter list, as texts; nulls count as ''. It gives an empty array where it has
-nothing to say. `endpoints` applies all of them in order.
+One reading of annotation arguments serves all extractors: `arguments` gives what stands between an annotation's
+brackets, `attribute` the value of a named argument, `positional` that of an unnamed one, and `items` the values of a
+list or a single one without quotes and `.class`. An extractor takes the annotation's text and, where it needs them, the
+class's annotations, all annotations of the method, the return type and the parameter list; nulls count as ''. It gives
+an empty array where it has nothing to say. `endpoints` applies all of them.
 """
 
 from __future__ import annotations
@@ -12,109 +14,108 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codestrata.functions.names import clean_tokens, merge_paths
+from codestrata.functions.names import merge_paths
 
 # fixed values: annotations and what they stand for
-SPRING_MAPPINGS = {"@GetMapping": "GET", "@PostMapping": "POST", "@PutMapping": "PUT", "@DeleteMapping": "DELETE", "@PatchMapping": "PATCH", "@RequestMapping": "REQUEST"}
+SPRING_MAPPINGS = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "DeleteMapping": "DELETE", "PatchMapping": "PATCH", "RequestMapping": "REQUEST"}
 JAXRS_VERBS = ["GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS"]
-_KIND = "array<struct<type:string,path:string,produces:string,consumes:string>>"
+SCHEMA = "array<struct<type:string,path:string,produces:string,consumes:string>>"
 
+# chunks are taken whole (++), so that the matcher's depth grows with the number of strings, not of characters
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"' + r"|'[^'\\]*+(?:\\.[^'\\]*+)*+'"
+_VALUE = rf"\{{(?:[^}}\"']++|{_STRING})*+\}}|{_STRING}|[\w.$]+"
 
-def _text(column: Column) -> Column:
-    return F.coalesce(column, F.lit(""))
 
+def arguments(text: Column, name: str) -> Column:
+    """What stands between the brackets of `@name(...)`; '' without brackets."""
+    return F.regexp_extract(text, rf"@\s*{name}\s*\(((?:[^()\"']++|{_STRING}|\((?:[^()\"']++|{_STRING})*+\))*+)\)", 1)
 
-def _one(kind: Column, path: Column | None = None, consumes: Column | None = None) -> Column:
-    empty = F.lit("")
-    return F.struct(kind.alias("type"), (empty if path is None else path).alias("path"), empty.alias("produces"), (empty if consumes is None else consumes).alias("consumes"))
 
+def attribute(given: Column, name: str) -> Column:
+    """The value of a named argument as it is written; '' if it isn't given."""
+    found = F.regexp_extract_all(given, F.lit(rf"\b{name}\s*=\s*({_VALUE})|{_STRING}"), 1)
+    return F.coalesce(F.get(F.filter(found, lambda v: v != ""), F.lit(0)), F.lit(""))
 
-def _none() -> Column:
-    return F.array().cast(_KIND)
 
+def positional(given: Column) -> Column:
+    """The value of an unnamed first argument as it is written; '' if there is none."""
+    return F.regexp_extract(given, rf"^\s*({_VALUE})\s*(?:,|$)", 1)
 
-def _consumers(kind: str, names: Column) -> Column:
-    return F.transform(names, lambda n: _one(F.lit(kind), consumes=n)).cast(_KIND)
 
+def items(value: Column) -> Column:
+    """The values of a list, or of a single one: texts without quotes, classes without `.class`; empty ones are dropped."""
+    plain = F.transform(F.regexp_extract_all(value, F.lit(rf"{_STRING}|[\w.$]+"), 0), lambda v: F.regexp_replace(F.trim(F.regexp_replace(v, "^[\"']|[\"']$", "")), r"\.class$", ""))
+    return F.filter(plain, lambda v: v != "")
 
-def _quoted(text: Column) -> Column:
-    return F.regexp_extract(text, "[\"']([^\"']*)[\"']", 1)
 
+def _first_string(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(text, _STRING, 0), "^[\"']|[\"']$", "")
 
-def _first_of(text: Column, *patterns: tuple[str, int]) -> Column:
-    found = [F.nullif(F.regexp_extract(text, p, g), F.lit("")) for p, g in patterns]
-    return F.coalesce(*found)
 
+def _found(condition: Column, kind: Column, path: Column) -> Column:
+    one = F.struct(kind.alias("type"), path.alias("path"), F.lit("").alias("produces"), F.lit("").alias("consumes"))
+    return F.when(condition, F.array(one)).otherwise(F.array()).cast(SCHEMA)
 
-def spring_mapping(text: Column, class_text: Column, method_text: Column, return_type: Column) -> Column:
-    """A web mapping of a controller whose results are bodies; the first quoted text is its path."""
-    text, class_text, method_text, return_type = map(_text, (text, class_text, method_text, return_type))
-    verb = F.lit(None).cast("string")
-    for mark, name in reversed(SPRING_MAPPINGS.items()):
-        given = F.coalesce(F.nullif(F.regexp_extract(text, r"method\s*=\s*RequestMethod\.(\w+)", 1), F.lit("")), F.lit(name)) if mark == "@RequestMapping" else F.lit(name)
-        verb = F.when(text.contains(mark), given).otherwise(verb)
-    prefix = _quoted(F.regexp_extract(class_text, r"@RequestMapping\s*(\([^)]*\))", 1))
-    reactive = F.when(return_type.rlike("Mono|Flux"), F.concat(verb, F.lit("_REACTIVE"))).otherwise(verb)
-    served = class_text.contains("@RestController") | method_text.contains("@ResponseBody")
-    return F.when(verb.isNotNull() & served & ~text.contains("@ExceptionHandler"), F.array(_one(reactive, merge_paths(prefix, _quoted(text)))).cast(_KIND)).otherwise(_none())
 
+def _consumers(condition: Column, kind: str, names: Column) -> Column:
+    each = F.transform(names, lambda n: F.struct(F.lit(kind).alias("type"), F.lit("").alias("path"), F.lit("").alias("produces"), n.alias("consumes")))
+    return F.when(condition, each).otherwise(F.array()).cast(SCHEMA)
 
-def spring_exception_handler(text: Column, class_text: Column) -> Column:
-    """The exceptions that a handler takes."""
-    text, class_text = _text(text), _text(class_text)
-    listed = F.regexp_extract(text, r"@ExceptionHandler\s*\(\s*\{([^}]+)\}", 1)
-    names = F.concat(F.lit("["), F.array_join(F.regexp_extract_all(listed, F.lit(r"([A-Za-z_]\w+)\.class"), 1), ", "), F.lit("]"))
-    single = F.replace(F.regexp_extract(text, r"@ExceptionHandler\s*\(\s*([A-Za-z_]\w+(?:\.class)?)", 1), F.lit(".class"), F.lit(""))
-    kind = F.when(class_text.contains("@RestControllerAdvice"), F.lit("REST_EXCEPTION_HANDLER")).otherwise(F.lit("EXCEPTION_HANDLER"))
-    return F.when(text.contains("@ExceptionHandler"), F.array(_one(kind, F.when(listed != "", names).otherwise(single))).cast(_KIND)).otherwise(_none())
+
+def _has(text: Column, name: str) -> Column:
+    return F.contains(F.coalesce(text, F.lit("")), F.lit("@" + name))
+
+
+def _is(text: Column, name: str) -> Column:
+    return F.coalesce(text, F.lit("")).rlike(rf"@\s*{name}\b")
 
 
-def _rest_path(text: Column) -> Column:
-    mark = F.regexp_extract(text, r"(@Path\s*\([^)]*\))", 1)
-    return F.coalesce(_first_of(mark, (r"value\s*=\s*[\"']([^\"']*)[\"']", 1), (r"@Path\s*\(\s*[\"']([^\"']*)[\"']", 1)), F.lit(""))
+def spring_mapping(text: Column, class_text: Column, method_text: Column, return_type: Column) -> Column:
+    """A web mapping of a controller whose results are bodies; the annotation's first string is its path."""
+    named = F.coalesce(*[F.when(_has(text, mark), F.lit(verb)) for mark, verb in SPRING_MAPPINGS.items()])
+    asked = F.regexp_extract(attribute(arguments(text, "RequestMapping"), "method"), r"RequestMethod\.(\w+)", 1)
+    verb = F.when((named == "REQUEST") & (asked != ""), asked).otherwise(named)
+    reactive = F.when(F.coalesce(return_type, F.lit("")).rlike("Mono|Flux"), F.lit("_REACTIVE")).otherwise("")
+    served = _has(class_text, "RestController") | _has(method_text, "ResponseBody")
+    path = merge_paths(_first_string(arguments(class_text, "RequestMapping")), _first_string(text))
+    return _found(verb.isNotNull() & served & ~_has(text, "ExceptionHandler"), F.concat(verb, reactive), path)
+
+
+def spring_exception_handler(text: Column, class_text: Column) -> Column:
+    """The exceptions that a handler takes: one by its name, a list in square brackets."""
+    given = arguments(text, "ExceptionHandler")
+    value = F.coalesce(F.nullif(attribute(given, "value"), F.lit("")), positional(given))
+    names = F.array_join(items(value), ", ")
+    path = F.when(F.startswith(value, F.lit("{")), F.concat(F.lit("["), names, F.lit("]"))).otherwise(names)
+    kind = F.when(_has(class_text, "RestControllerAdvice"), "REST_EXCEPTION_HANDLER").otherwise("EXCEPTION_HANDLER")
+    return _found(_has(text, "ExceptionHandler"), kind, F.coalesce(path, F.lit("")))
 
 
 def jaxrs(text: Column, class_text: Column, method_text: Column) -> Column:
     """A JAX-RS verb with the paths of class and method."""
-    text = _text(text)
-    verb = F.lit(None).cast("string")
-    for name in reversed(JAXRS_VERBS):
-        verb = F.when(text.contains("@" + name), F.lit(name)).otherwise(verb)
-    return F.when(verb.isNotNull(), F.array(_one(verb, merge_paths(_rest_path(_text(class_text)), _rest_path(_text(method_text))))).cast(_KIND)).otherwise(_none())
+    verb = F.coalesce(*[F.when(_is(text, v), F.lit(v)) for v in JAXRS_VERBS])
+    path = lambda notes: _first_string(arguments(F.coalesce(notes, F.lit("")), "Path"))
+    return _found(verb.isNotNull(), verb, merge_paths(path(class_text), path(method_text)))
 
 
 def kafka(text: Column) -> Column:
-    """A listener's topics: `topics` as a list or single, positional, or a pattern."""
-    text = _text(text)
-    listed = F.regexp_extract(text, r"\btopics\s*=\s*\{([^}]*)\}", 1)
-    single = _first_of(text, (r"\btopics\s*=\s*\"([^\"]+)\"", 1), (r"\btopics\s*=\s*'([^']+)'", 1), (r"\btopics\s*=\s*([A-Za-z_]\w*)", 1))
-    place = F.when(~text.contains("topics=") & ~text.contains("topicPattern"), F.nullif(F.regexp_extract(text, r"@\s*KafkaListener\s*\(\s*(\{[^}]*\}|\"[^\"]+\"|'[^']+'|[A-Za-z_]\w*)", 1), F.lit("")))
-    pattern = _first_of(text, (r"\btopicPattern\s*=\s*\"([^\"]+)\"", 1), (r"\btopicPattern\s*=\s*'([^']+)'", 1))
-    names = (
-        F.when(text.rlike(r"\btopics\s*=\s*\{[^}]*\}"), clean_tokens(listed)).when(single.isNotNull(), clean_tokens(single))
-        .when(place.isNotNull(), clean_tokens(F.regexp_replace(place, r"^\{|\}$", ""))).when(pattern.isNotNull(), F.array(F.concat(F.lit("PATTERN:"), pattern)))
-    )
-    return F.when(text.contains("@KafkaListener") & names.isNotNull(), _consumers("KAFKA_CONSUMER", names)).otherwise(_none())
+    """A listener's topics: named, else positional, else a pattern."""
+    given = arguments(text, "KafkaListener")
+    topics, place, pattern = attribute(given, "topics"), positional(given), attribute(given, "topicPattern")
+    names = F.when(topics != "", items(topics)).when(place != "", items(place)).otherwise(F.transform(items(pattern), lambda p: F.concat(F.lit("PATTERN:"), p)))
+    return _consumers(_has(text, "KafkaListener"), "KAFKA_CONSUMER", names)
 
 
 def rabbit(text: Column) -> Column:
-    """A listener's queues, a list or a single one."""
-    text = _text(text)
-    listed = F.regexp_extract(text, r"\bqueues\s*=\s*\{([^}]*)\}", 1)
-    single = _first_of(text, (r"\bqueues\s*=\s*\"([^\"]+)\"", 1), (r"\bqueues\s*=\s*'([^']+)'", 1))
-    items = F.transform(F.split(listed, ","), lambda q: F.regexp_replace(F.trim(q), r"^[\"']+|[\"']+$", ""))
-    names = F.when(text.rlike(r"\bqueues\s*=\s*\{[^}]*\}"), items).when(single.isNotNull(), F.array(single))
-    return F.when(text.contains("@RabbitListener") & names.isNotNull(), _consumers("RABBIT_CONSUMER", names)).otherwise(_none())
+    """A listener's queues."""
+    return _consumers(_has(text, "RabbitListener"), "RABBIT_CONSUMER", items(attribute(arguments(text, "RabbitListener"), "queues")))
 
 
 def spring_event(text: Column, params: Column) -> Column:
-    """A listener's event classes; without any, the type of its first parameter."""
-    text = _text(text)
-    listed = F.regexp_extract(text, r"\bclasses\s*=\s*\{([^}]*)\}", 1)
-    single = F.nullif(F.regexp_extract(text, r"\bclasses\s*=\s*([A-Za-z_][\w.]*)\.class", 1), F.lit(""))
-    first = F.nullif(F.substring_index(F.regexp_extract(_text(params), r"\(\s*([A-Za-z_][\w.]*)\s+\w+", 1), ".", -1), F.lit(""))
-    names = F.when(text.rlike(r"\bclasses\s*=\s*\{[^}]*\}"), F.transform(F.split(listed, ","), lambda c: F.replace(F.trim(c), F.lit(".class"), F.lit("")))).when(single.isNotNull(), F.array(single)).when(first.isNotNull(), F.array(first))
-    return F.when(text.contains("@EventListener") & names.isNotNull(), _consumers("SPRING_EVENT_CONSUMER", names)).otherwise(_none())
+    """A listener's event classes; without any, the simple type of its first parameter."""
+    classes = items(attribute(arguments(text, "EventListener"), "classes"))
+    first = F.substring_index(F.regexp_extract(F.coalesce(params, F.lit("")), r"^\s*\(\s*(?:final\s+)?([\w.$]+)[^,)]*\s\w+", 1), ".", -1)
+    return _consumers(_has(text, "EventListener"), "SPRING_EVENT_CONSUMER", F.when(F.size(classes) > 0, classes).otherwise(F.filter(F.array(first), lambda n: n != "")))
 
 
 #: Extractors by name, each from (text, class_text, method_text, return_type, params); further ones may be added.

@@ -65,12 +65,6 @@ def merge_paths(outer: Column, inner: Column) -> Column:
     return F.when(outer == "", inner).when(inner == "", outer).otherwise(both)
 
 
-def clean_tokens(text: Column) -> Column:
-    """A comma list's items without blanks, quotes and `.class`; empty items are dropped."""
-    items = F.transform(F.split(text, r",\s*"), lambda t: F.trim(F.replace(F.regexp_replace(F.trim(t), r"^[\"']+|[\"']+$", ""), F.lit(".class"), F.lit(""))))
-    return F.filter(items, lambda t: t != "")
-
-
 def node_key(class_name: Column, method_name: Column) -> Column:
     """`class.method`, or the class alone."""
     return F.when(method_name.isNotNull(), F.concat(class_name, F.lit("."), method_name)).otherwise(class_name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +30,16 @@ def build_session(app: str = "codestrata", cpus: int | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the cluster's `spark.checkpoint.dir`, a temporary one only where that is unset."""
+    """The shared checkpoint folder that `spark.checkpoint.dir` names; a local session without it gets a temporary one."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codestrata-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="codestrata-checkpoint-")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
@@ -43,10 +48,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint, which survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_limit(spark: SparkSession) -> int:
-    """Bytes below which a side may be broadcast, as the session has it."""
-    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").lower().rstrip("b")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    return int(float(text[:-1]) * units[text[-1]]) if text and text[-1] in units else int(text)

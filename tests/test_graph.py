@@ -119,7 +119,34 @@ def test_names(spark):
     assert tuple(row) == ("com.x.A", "a.b.D", "/v1/x", "com.y.Z", "f(a , Map<K>)")
     kept = spark.range(1).select(filters.project_names(F.array(*[F.lit(x) for x in ("String", "a.B", "java.util.List", None, "a.B", "List<T>")]))).head()[0]
     assert kept == ["a.B"]
-    assert comments.remove_comments('a // b\n/* x\ny */ c\nd /* e */ f') == "a \n\n c\nd" + 9 * " " + "f"
+
+
+COMMENTED = [
+    ("a // b\n/* x\ny */ c\nd /* e */ f", "a \n\n c\nd         f"), ("a /* x // y */ b\nc */ d", "a \n d"), ('s = "http://x";', 's = "http:'), ("/**\n * doc\n */ x / y", "\n      \n x / y"), ("a /* b */ c /* d\ne", "a         c \n "), ("a /* b", "a "), ("", ""), ("a/b*c", "a/b*c"), (None, None), ("x" * 50_000 + "// y", "x" * 50_000),
+]
+
+
+def test_comments(spark):
+    df = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(COMMENTED)], "k int, t string")
+    got = {r.k: r.u for r in df.select("k", comments.without_comments(F.col("t")).alias("u")).collect()}
+    assert got == {k: b for k, (_, b) in enumerate(COMMENTED)}
+
+
+def test_marked_lines(spark):
+    row = spark.range(1).select(filters.marked_lines(F.lit("a\n@Data\nclass X {\n @Getter int y;"), filters.LOMBOK_MARKERS)).head()
+    assert row[0] == [1, 3]
+
+
+ARGUMENTS = [
+    ('@KafkaListener(id = "x", topics = {"a", B.C, \'d\'})', ["a", "B.C", "d"]), ('@KafkaListener(topics = "a")', ["a"]), ("@KafkaListener({T.A, T.B})", ["T.A", "T.B"]), ('@KafkaListener(topicPattern = "a.*", id = "topics = b")', ["PATTERN:a.*"]),
+    ('@KafkaListener(groupId = "g")', []), ("@KafkaListener", []), ('@KafkaListener(topics = "a(b)", x = f(1))', ["a(b)"]),
+]
+
+
+def test_arguments_of_listeners(spark):
+    df = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(ARGUMENTS)], "k int, t string")
+    got = {r.k: [e.consumes for e in r.e] for r in df.select("k", endpoints.kafka(F.col("t")).alias("e")).collect()}
+    assert got == {k: b for k, (_, b) in enumerate(ARGUMENTS)}
 
 
 JAVA = """package p.q;
