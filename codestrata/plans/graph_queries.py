@@ -387,14 +387,24 @@ def _seeds(spark: SparkSession, d: str) -> DataFrame:
     return _nodes(spark, d).where("node_id % 50 = 0").select("node_id")
 
 
-def _closure_sql(directions: str) -> str:
+def _walk_sql(directions: str) -> str:
     parts = []
     for step in directions.split("|"):
         kind, (a, b) = step.strip("<>"), ("src", "dst") if step.endswith(">") else ("dst", "src")
-        parts.append(f"SELECT {a} AS node, {b} AS next FROM rels WHERE type = '{kind}'")
+        parts.append(f"SELECT {a} AS node, {b} AS next, type FROM rels WHERE type = '{kind}'")
     return f"""WITH RECURSIVE {_R}, steps AS ({' UNION '.join(parts)}),
-walk AS (SELECT id AS seed, id AS node, 0 AS depth FROM nodes WHERE id % 50 = 0 UNION SELECT w.seed, s.next, w.depth + 1 FROM walk w JOIN steps s ON s.node = w.node WHERE w.depth < 20)
-SELECT seed, node, min(depth) AS depth FROM walk GROUP BY seed, node HAVING min(depth) > 0"""
+walk AS (SELECT id AS seed, id AS node, 0 AS depth FROM nodes WHERE id % 50 = 0 UNION SELECT w.seed, s.next, w.depth + 1 FROM walk w JOIN steps s ON s.node = w.node WHERE w.depth < 20),
+reached AS (SELECT seed, node, min(depth) AS depth FROM walk GROUP BY seed, node)"""
+
+
+def _closure_sql(directions: str) -> str:
+    return _walk_sql(directions) + " SELECT seed, node, depth FROM reached WHERE depth > 0"
+
+
+_PATHS = _walk_sql(traverse.DOWNSTREAM) + """,
+way AS (SELECT r.seed, r.node, r.depth, min({'type': s.type, 'via': s.node}) AS w FROM reached r JOIN steps s ON s.next = r.node JOIN reached v ON v.seed = r.seed AND v.node = s.node AND v.depth = r.depth - 1 GROUP BY ALL),
+paths AS (SELECT seed, node, 0 AS depth, [{'node': node, 'type': ''}] AS path FROM reached WHERE depth = 0
+  UNION ALL SELECT w.seed, w.node, w.depth, list_append(p.path, {'node': w.node, 'type': w.w.type}) FROM paths p JOIN way w ON w.seed = p.seed AND w.w.via = p.node AND w.depth = p.depth + 1)"""
 
 
 @query(_closure_sql(traverse.DOWNSTREAM))
@@ -407,12 +417,20 @@ def upstream_closure(spark, d):
     return traverse.closure(_seeds(spark, d), _rels(spark, d), traverse.UPSTREAM)
 
 
-@query()
+@query("SELECT DISTINCT n.id AS node_id FROM nodes n JOIN tombstones t ON t.project_id = n.project_id AND t.branch = n.branch AND t.class_name = n.class_name AND t.method_name IS NOT DISTINCT FROM n.method_name")
+def traversal_seeds(spark, d):
+    return traverse.seeds(_nodes(spark, d), table(spark, d, "tombstones"))
+
+
+@query(_PATHS + """, each AS (SELECT seed, node, k - 2 AS step, path[k] AS s, path[k - 1].node AS previous FROM (SELECT *, unnest(range(2, len(path) + 1)) AS k FROM paths))
+SELECT e.seed, e.node, CAST(e.step AS INTEGER) AS step, e.s.node AS visited FROM each e JOIN nodes n ON n.id = e.s.node JOIN nodes b ON b.id = e.previous
+WHERE (e.s.type = 'CALL' AND n.method_name IS NOT NULL OR e.s.type IN ('IMPLEMENT', 'EXTEND', 'BRANCH') OR e.s.type = 'USE' AND n.method_name IS NULL)
+  AND NOT coalesce(e.s.type = 'BRANCH' AND b.branch = 'main' AND n.branch = 'develop', false)""")
 def traversal_visited_nodes(spark, d):
     return traverse.visited(traverse.closure(_seeds(spark, d), _rels(spark, d), with_path=True), _nodes(spark, d))
 
 
-@query()
+@query(_PATHS + " SELECT seed, node, CAST(len(path) - 1 AS INTEGER) AS total_length, array_to_string(list_transform(path[2:], lambda s: s.type || ':' || s.node), ' ') AS summary FROM paths WHERE depth > 0")
 def traversal_path_summary(spark, d):
     return traverse.summary(traverse.closure(_seeds(spark, d), _rels(spark, d), with_path=True))
 
