@@ -65,6 +65,11 @@ def merge_paths(outer: Column, inner: Column) -> Column:
     return F.when(outer == "", inner).when(inner == "", outer).otherwise(both)
 
 
+def hashed_id(*parts: Column) -> Column:
+    """A non-negative 64-bit id out of columns, the same at every run."""
+    return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 63) - 1))
+
+
 def node_key(class_name: Column, method_name: Column) -> Column:
     """`class.method`, or the class alone."""
     return F.when(method_name.isNotNull(), F.concat(class_name, F.lit("."), method_name)).otherwise(class_name)

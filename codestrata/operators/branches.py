@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.functions.names import node_key
+from codestrata.functions.names import hashed_id, node_key
 from codestrata.operators.nodes import detach
+from codestrata.session import cut
 
 
 def changed_keys(chunks: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def changed_keys(chunks: DataFrame) -> DataFrame:
 
 def copied_id(branch: Column, old: Column) -> Column:
     """The id of a node's copy on a branch: positive, and repeatable."""
-    return F.abs(F.xxhash64(branch, old.cast("string")))
+    return hashed_id(branch, old)
 
 
 def mapping(nodes: DataFrame, changed: DataFrame, main: str = "main_branch", to: str = "to_branch") -> DataFrame:
@@ -35,8 +36,8 @@ def mapping(nodes: DataFrame, changed: DataFrame, main: str = "main_branch", to:
 
 def copy_nodes(nodes: DataFrame, mapped: DataFrame) -> DataFrame:
     """Copies of the mapped nodes on their new branch."""
-    own = [c for c in nodes.columns if c not in ("node_id", "branch")]
-    return nodes.join(mapped.select(F.col("old_id").alias("node_id"), "new_id", "to_branch"), "node_id").select(F.col("new_id").alias("node_id"), *own, F.col("to_branch").alias("branch"))
+    own = [c for c in nodes.columns if c not in ("node_id", "branch", "main_branch", "to_branch")]
+    return nodes.select("node_id", *own).join(mapped.select(F.col("old_id").alias("node_id"), "new_id", "to_branch"), "node_id").select(F.col("new_id").alias("node_id"), *own, F.col("to_branch").alias("branch"))
 
 
 def copy_internal(rels: DataFrame, mapped: DataFrame) -> DataFrame:
@@ -68,12 +69,18 @@ def orphan_mappings(mapped: DataFrame, nodes: DataFrame) -> DataFrame:
     return mapped.join(ids.withColumnRenamed("node_id", "old_id"), "old_id", "left_anti").join(ids.withColumnRenamed("node_id", "new_id"), "new_id", "left_anti")
 
 
-def copy_branch(nodes: DataFrame, rels: DataFrame, changed: DataFrame, main: str = "main_branch", to: str = "to_branch") -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges with a branch's copy added."""
-    mapped = mapping(nodes, changed, main, to)
-    all_nodes = nodes.unionByName(copy_nodes(nodes, mapped), allowMissingColumns=True)
+def copy_branch(nodes: DataFrame, rels: DataFrame, changed: DataFrame, main: str, to: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, mapping) with the rows of branch `main` copied onto branch `to`, less those that changed.
+
+    Edges inside the copy, from it to the new branch's own rows and from those into it are put in; each edge counts
+    once. Rows that were copied before aren't copied again. The mapping (project_id, old_id, new_id, to_branch) has
+    every node that the copy stands for.
+    """
+    mapped = cut(mapping(nodes.withColumn("main_branch", F.lit(main)).withColumn("to_branch", F.lit(to)), changed))
+    fresh = mapped.join(nodes.select(F.col("node_id").alias("new_id")), "new_id", "left_anti")
+    all_nodes = nodes.unionByName(copy_nodes(nodes, fresh), allowMissingColumns=True)
     new = copy_internal(rels, mapped).unionByName(copy_cross(rels, nodes, mapped)).unionByName(copy_cross(rels, nodes, mapped, reverse=True))
-    return all_nodes, rels.unionByName(new)
+    return all_nodes, rels.unionByName(new).dropDuplicates(["src", "dst", "type"]), mapped
 
 
 def delete_branch(nodes: DataFrame, rels: DataFrame, project_id: str | int, branch: str, pull_request_id: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -5,12 +5,12 @@ Each half of an import ends in a checkpoint: the next reads its rows instead of
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.functions.names import node_key
+from codestrata.functions.names import hashed_id, node_key
 from codestrata.operators import branches, edges, nodes
 from codestrata.schema import NODE_COLUMNS
 from codestrata.session import cut
@@ -27,34 +27,52 @@ class Options:
     base_version: str | None = None
     null_safe: bool = False
     handler_method: bool = True
+    own_base: bool = False  #: every chunk's own branch is its base
 
 
 @dataclass(frozen=True)
 class Store:
-    """Nodes (node_id and the node columns) and edges (src, dst, type)."""
+    """Nodes (node_id and the node columns) and edges (src, dst, type); after an import also its counts (what, rows)."""
 
     nodes: DataFrame
     rels: DataFrame
+    counts: DataFrame | None = None
 
 
-def _with_ids(rows: DataFrame) -> DataFrame:
-    """Rows with ids from their content and how often it came before, so that a rerun gives the same ids."""
-    same = Window.partitionBy("project_id", "branch", "pull_request_id", "class_name", "method_name").orderBy("ast_hash", "content")
-    ident = F.concat_ws("\u0001", "project_id", "branch", F.coalesce("pull_request_id", F.lit("")), "class_name", F.coalesce("method_name", F.lit("")), F.coalesce("ast_hash", F.lit("")), F.row_number().over(same))
-    return rows.withColumn("node_id", F.sha2(ident, 256))
+def counted(**frames: DataFrame) -> DataFrame:
+    """(what, rows) of frames by name; nothing is counted before it is read."""
+    out = None
+    for what, rows in frames.items():
+        one = rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(what).alias("what"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _with_ids(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows with ids from what they say, so that a rerun gives the same ids, and apart from those of `kept` rows.
+
+    Rows alike in place and name are told apart by their number, and from rows of that name that stay in the store by the
+    largest id of those.
+    """
+    place = F.concat_ws("\u0001", "project_id", "branch", F.coalesce("pull_request_id", F.lit("\u0002")), "class_name", F.coalesce("method_name", F.lit("\u0002")))
+    last = kept.select(place.alias("place"), "node_id").groupBy("place").agg(F.max("node_id").alias("last"))
+    same = Window.partitionBy("place").orderBy("ast_hash", "content")
+    numbered = rows.withColumn("place", place).withColumn("nth", F.row_number().over(same)).join(last, "place", "left")
+    return numbered.withColumn("node_id", hashed_id(F.col("place"), F.col("nth"), F.coalesce("last", F.lit(-1)))).drop("place", "nth", "last")
 
 
 def _requested(chunks: DataFrame, o: Options) -> DataFrame:
     given = (o.main_branch, o.base_branch, o.pull_request_id, o.version, o.base_version)
-    return nodes.class_nodes(chunks, *given).unionByName(nodes.method_nodes(chunks, *given))
+    asked = nodes.class_nodes(chunks, *given).unionByName(nodes.method_nodes(chunks, *given))
+    return asked.withColumn("base_branch", F.col("branch")) if o.own_base else asked
 
 
 def import_nodes(store: Store, chunks: DataFrame, o: Options, deleted: DataFrame | None = None) -> Store:
     """The store with the chunks' nodes in place of those they replace, and tombstones of deleted nodes."""
     asked = _requested(chunks, o)
     left_nodes, left_rels = nodes.without_replaced(store.nodes, store.rels, asked)
-    if o.main_branch and o.base_branch:
-        named = asked.withColumn("main_on", F.lit(o.main_branch)).withColumn("base_on", F.lit(o.base_branch))
+    if o.main_branch and (o.base_branch or o.own_base):
+        named = asked.withColumn("main_on", F.lit(o.main_branch)).withColumn("base_on", F.col("base_branch"))
         new = nodes.delta(named, left_nodes, "main_on", "base_on", o.null_safe)
     elif o.main_branch:
         new = nodes.against_main(asked.withColumn("main_on", F.lit(o.main_branch)), left_nodes, "main_on", o.null_safe)
@@ -63,14 +81,19 @@ def import_nodes(store: Store, chunks: DataFrame, o: Options, deleted: DataFrame
     rows = new.select(*NODE_COLUMNS)
     if deleted is not None:
         rows = rows.unionByName(nodes.tombstone_nodes(deleted), allowMissingColumns=True)
-    return Store(cut(left_nodes.unionByName(_with_ids(rows), allowMissingColumns=True)), cut(left_rels))
+    left = cut(left_nodes)
+    made = cut(_with_ids(rows, left))
+    gone = store.nodes.select("node_id").join(left.select("node_id"), "node_id", "left_anti")
+    return Store(left.unionByName(made, allowMissingColumns=True), cut(left_rels), counted(created=made, replaced=gone))
 
 
 def import_edges(store: Store, chunks: DataFrame, o: Options) -> Store:
     """The store with the chunks' edges put in."""
-    asked = edges.requests(chunks, o.handler_method).withColumn("base_branch", F.lit(o.base_branch).cast("string")).withColumn("main_branch", F.lit(o.main_branch).cast("string"))
-    policy = "fallback" if o.main_branch and o.base_branch else "main" if o.main_branch else "same"
-    return Store(store.nodes, cut(edges.merge(store.rels, edges.resolve_all(asked, store.nodes, policy))))
+    asked = edges.requests(chunks, o.handler_method).withColumn("base_branch", F.col("branch") if o.own_base else F.lit(o.base_branch).cast("string")).withColumn("main_branch", F.lit(o.main_branch).cast("string"))
+    policy = "fallback" if o.main_branch and (o.base_branch or o.own_base) else "main" if o.main_branch else "same"
+    resolved = cut(edges.resolve_all(asked, store.nodes, policy))
+    counts = counted(resolved=resolved)
+    return Store(store.nodes, cut(edges.merge(store.rels, resolved)), counts if store.counts is None else store.counts.unionByName(counts))
 
 
 def import_simple(store: Store, chunks: DataFrame, o: Options = Options(), deleted: DataFrame | None = None) -> Store:
@@ -81,15 +104,23 @@ def import_simple(store: Store, chunks: DataFrame, o: Options = Options(), delet
 def import_incremental(store: Store, chunks: DataFrame, o: Options = Options(), deleted: DataFrame | None = None) -> Store:
     """Nodes and edges with the edges of unchanged nodes into replaced ones kept, and each edge once.
 
-    Without a base branch the chunks' own branch is the base.
+    Without a base branch each chunk's own branch is its base.
     """
     if o.base_branch is None and o.main_branch is not None:
-        own = chunks.select("branch").head()
-        o = Options(o.main_branch, own[0] if own else None, o.pull_request_id, o.version, o.base_version, o.null_safe, o.handler_method)
+        o = replace(o, own_base=True)
     classes = chunks.select(F.col("project_id").cast("string").alias("project_id"), "branch", F.col("full_class_name").alias("key"))
     methods = chunks.select(F.col("project_id").cast("string").alias("project_id"), "branch", "full_class_name", F.explode("methods").alias("m")).select("project_id", "branch", node_key(F.col("full_class_name"), F.col("m.full_name")).alias("key"))
     saved = cut(branches.save_boundary(store.nodes, store.rels, classes.unionByName(methods)))
     with_nodes = import_nodes(store, chunks, o, deleted)
-    restored = Store(with_nodes.nodes, with_nodes.rels.unionByName(branches.restore_boundary(with_nodes.nodes, saved)))
+    back = cut(branches.restore_boundary(with_nodes.nodes, saved))
+    restored = Store(with_nodes.nodes, with_nodes.rels.unionByName(back), with_nodes.counts.unionByName(counted(saved=saved, restored=back)))
     done = import_edges(restored, chunks, o)
-    return Store(done.nodes, done.rels.dropDuplicates(["src", "dst", "type"]))
+    return Store(done.nodes, done.rels.dropDuplicates(["src", "dst", "type"]), done.counts)
+
+
+def copy_branch(store: Store, chunks: DataFrame, main: str, to: str) -> Store:
+    """The store with branch `main` copied onto `to`, less the classes and methods that the chunks say changed; counts as an import's."""
+    all_nodes, all_rels, mapped = branches.copy_branch(store.nodes, store.rels, branches.changed_keys(chunks), main, to)
+    kept_nodes, kept_rels = cut(all_nodes), cut(all_rels)
+    copied = kept_nodes.select("node_id").join(store.nodes.select("node_id"), "node_id", "left_anti")
+    return Store(kept_nodes, kept_rels, counted(copied=copied, mapped=mapped))

@@ -26,8 +26,9 @@ CHUNK = T.StructType([
     T.StructField("annotations", T.ArrayType(_s)),
 ])
 NODE_COLUMNS = ["label", "name", "class_name", "method_name", "file_path", "content", "ast_hash", "project_id", "branch", "version", "status", "base_branch", "base_version", "pull_request_id", "endpoint"]
-NODE = T.StructType([T.StructField("node_id", _s), *_fields(*NODE_COLUMNS)])
-REL = T.StructType(_fields("src", "dst", "type"))
+#: Ids are 64-bit integers everywhere: those of tables as they are, those of imports and copies by hash.
+NODE = T.StructType([T.StructField("node_id", T.LongType()), *_fields(*NODE_COLUMNS)])
+REL = T.StructType([*_fields("src", "dst", kind=T.LongType()), T.StructField("type", _s)])
 
 # fixed values: chunk types and node labels
 CONFIGURATION, ENDPOINT_TYPE, REGULAR = "configuration", "rest_endpoint", "regular"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +33,30 @@ def only_targets(files: DataFrame, targets: list[str], parse_all: bool = False)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks out of JSON lines or a JSON array."""
+    """Chunks out of JSON lines, a file in as many tasks as it is long."""
+    return spark.read.schema(CHUNK).json(path)
+
+
+def read_chunk_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks out of files of one JSON array each; a file is one task."""
     return spark.read.schema(CHUNK).option("multiLine", True).json(path)
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks as JSON lines."""
-    chunks.write.mode("overwrite").json(path)
+    """Chunks as JSON lines, nulls included."""
+    chunks.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_chunk_array(chunks: DataFrame, path: str) -> int:
+    """Chunks as one indented JSON array in a local file, row by row; none is written without chunks. The number of chunks."""
+    count = 0
+    rows = chunks.select(F.to_json(F.struct(*chunks.columns), {"ignoreNullFields": "false"})).toLocalIterator()
+    for row in rows:
+        with open(path, "a" if count else "w", encoding="utf-8") as out:
+            text = json.dumps(json.loads(row[0]), indent=2, ensure_ascii=False).replace("\n", "\n  ")
+            out.write(("," if count else "[") + "\n  " + text)
+        count += 1
+    if count:
+        with open(path, "a", encoding="utf-8") as out:
+            out.write("\n]\n")
+    return count

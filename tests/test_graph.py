@@ -211,7 +211,49 @@ def test_files_and_store(spark, tmp_path):
     assert again.nodes.count() == 5 and state(importing.Store(again.nodes, again.rels)) == state(s)
     assert store.save(spark, again, root) == 2
     files.write_chunks(fixtures.chunks(spark, fixtures.FIRST), str(tmp_path / "chunks"))
-    assert spark.read.json(str(tmp_path / "chunks")).count() == 3
+    want = sorted(fixtures.chunks(spark, fixtures.FIRST).collect())
+    assert sorted(files.read_chunks(spark, str(tmp_path / "chunks")).collect()) == want
+    assert files.write_chunk_array(fixtures.chunks(spark, fixtures.FIRST), str(tmp_path / "chunks.json")) == 3
+    assert sorted(files.read_chunk_arrays(spark, str(tmp_path / "chunks.json")).collect()) == want
+    assert files.write_chunk_array(fixtures.chunks(spark, []), str(tmp_path / "none.json")) == 0 and not (tmp_path / "none.json").exists()
+
+
+def test_ids_over_imports(spark):
+    request = importing.Options(pull_request_id="7")
+    twice = importing.import_simple(importing.import_simple(empty_store(spark), fixtures.chunks(spark, fixtures.FIRST), request), fixtures.chunks(spark, fixtures.FIRST), request)
+    ids = [r.node_id for r in twice.nodes.collect()]
+    assert len(ids) == 10 and len(set(ids)) == 10 and min(ids) >= 0
+    again = importing.import_simple(empty_store(spark), fixtures.chunks(spark, fixtures.FIRST))
+    assert {r.node_id for r in again.nodes.collect()} == {r.node_id for r in importing.import_simple(empty_store(spark), fixtures.chunks(spark, fixtures.FIRST)).nodes.collect()}
+
+
+def test_every_chunk_has_its_own_base(spark):
+    rows = [dict(r, branch=b, methods=[dict(m, branch=b) for m in r["methods"]]) for b in ("develop", "other") for r in fixtures.FIRST]
+    s = importing.import_incremental(empty_store(spark), fixtures.chunks(spark, rows), importing.Options(main_branch="main"))
+    assert {(r.branch, r.base_branch) for r in s.nodes.collect()} == {("develop", "develop"), ("other", "other")}
+    n = {r.node_id: r.branch for r in s.nodes.collect()}
+    assert sorted((n[r.src], n[r.dst], r.type) for r in s.rels.collect()) == [(b, b, t) for b in ("develop", "other") for t in ("CALL", "USE")]
+
+
+def test_copying_and_walking_an_imported_store(spark):
+    s = importing.import_simple(empty_store(spark), fixtures.chunks(spark, fixtures.FIRST))
+    copied = importing.copy_branch(s, fixtures.chunks(spark, [dict(fixtures.SECOND[0], branch="new")]), "develop", "new")
+    assert {r.what: r.rows for r in copied.counts.collect()} == {"copied": 3, "mapped": 3}
+    n = {r.node_id: (r.branch, r.class_name, r.method_name) for r in copied.nodes.collect()}
+    assert sorted((k[1:] for k in n.values() if k[0] == "new"), key=str) == sorted([("p.ClassA", None), ("p.ClassA", "methodA"), ("p.ClassC", None)], key=str)
+    seeds = copied.nodes.where("method_name = 'methodA' and branch = 'develop'").select("node_id")
+    found = traverse.closure(seeds, copied.rels, with_path=True).collect()
+    assert {(n[r.node][1], r.depth, "".join(p.type for p in r.path)) for r in found} == {("p.ClassB", 1, "CALL"), ("p.ClassC", 2, "CALLUSE")}
+    named = traverse.seeds(copied.nodes, spark.createDataFrame([("1", "p.ClassA", "methodA")], "project_id string, class_name string, method_name string"))
+    assert named.count() == 2
+
+
+def test_closure_with_text_ids_and_ties(spark):
+    rels = spark.createDataFrame([("a", "b", "USE"), ("a", "c", "CALL"), ("b", "d", "CALL"), ("c", "d", "CALL"), ("d", "a", "CALL"), ("d", "d", "CALL"), ("a", "b", "USE")], "src string, dst string, type string")
+    seeds = spark.createDataFrame([(x,) for x in ("a", "a", "z", None)] + [(f"s{k}",) for k in range(200)], "node_id string")
+    out = {(r.seed, r.node): (r.depth, [tuple(p) for p in r.path]) for r in traverse.closure(seeds, rels, min_level=0, with_path=True).collect()}
+    assert len(out) == 205 and out["z", "z"] == (0, []) and out["a", "b"] == (1, [("b", "USE")])
+    assert out["a", "d"] == (2, [("b", "USE"), ("d", "CALL")])  # of two ways the smallest (type, predecessor)
 
 
 def test_stream(spark, tmp_path):
@@ -219,9 +261,12 @@ def test_stream(spark, tmp_path):
 
     files.write_chunks(fixtures.chunks(spark, fixtures.FIRST).coalesce(1), str(tmp_path / "in"))
     kept = [empty_store(spark)]
-    q = import_stream(stream_chunks(spark, str(tmp_path / "in")), lambda: kept[-1], kept.append, str(tmp_path / "ck"))
+    q = import_stream(stream_chunks(spark, str(tmp_path / "in")), lambda: kept[-1], lambda s, n: kept.append(s), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert kept[-1].nodes.count() == 5
+    late = import_stream(stream_chunks(spark, str(tmp_path / "in")), lambda: kept[-1], lambda s, n: kept.append(s), str(tmp_path / "ck2"), last_saved=lambda: 0)
+    late.awaitTermination(120)
+    assert len(kept) == 2
 
 
 def test_symbols_and_positions(spark):
