@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+
 import regex
 
+from codestrata.llm.parsing.lr import Several
+
 # fixed values: keywords of the Java language specification, chapter 3.9
 KEYWORDS = """abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for
 goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch
@@ -28,44 +33,79 @@ _WORD = regex.compile(
 _ESCAPED = regex.compile(r"(?<!\\)((?:\\\\)*)\\u+([0-9a-fA-F]{4})")
 
 
-def words(text: str, terminals: dict[str, int]) -> tuple[list, list[int], int | None]:
-    """Terminals, their places, and the place of the first thing that is no word (None if there is none)."""
+#: Pieces of a text, every character in one: space, strings, numbers with what hangs on them, names, signs.
+_PIECE = re.compile(
+    r"""[ \t\f\r\n]+|//[^\r\n]*|/\*.*?\*/
+|non-sealed(?![\w$])
+|\.?[0-9](?:(?<=0)[xX][0-9a-fA-F_.]*(?:[pP][+-]?)?[\w$.]*|(?:[eE][+-](?=[0-9])|[\w$]|\.(?!\.))*)
+|[^\x00-\x23\x25-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f\x80-\xa0]+
+|\"\"\"(?:[^\\"]|\\.|"(?!""))*\"\"\"|"(?:[^"\\\r\n]|\\.)*"|'(?:[^'\\\r\n]|\\.)*'
+|\.\.\.|->|::|\+\+|--|&&|\|\||<<=|<<|<=|==|!=|\+=|-=|\*=|/=|&=|\|=|\^=|%=|>+={0,2}|.""",
+    re.VERBOSE | re.DOTALL,
+)
+BAD = -1  # no terminal: no stack goes on with it
+
+
+class _Terminals(dict):
+    """Memo from pieces to terminals: None for space, BAD for what is no word."""
+
+    def __init__(self, terminals: dict[str, int]):
+        super().__init__()
+        self.terminals = terminals
+        self.fixed = {w: terminals.get(w, BAD) for w in KEYWORDS}
+        self.choice = {w: (terminals[w], terminals["ID"]) for w in CONTEXTUAL}
+        self.kinds = {"id": terminals["ID"], "float": terminals["FLOAT"], "int": terminals["INT"], "text": terminals["STRING"], "string": terminals["STRING"], "char": terminals["CHAR"], "non": terminals["non-sealed"], "space": None}
+
+    def __missing__(self, piece: str):
+        found = self.judge(piece)
+        if piece[0] not in "\"'/" and len(self) < 200_000:
+            self[piece] = found
+        return found
+
+    def judge(self, piece: str):
+        if piece[0] == ">":
+            signs, equal = piece.rstrip("="), len(piece) - len(piece.rstrip("="))
+            ends = [">_"] * (len(signs) - 1) + [">_" if equal else ">"] + ["=" * equal] * bool(equal)
+            codes = [self.terminals[e] for e in ends]
+            return codes[0] if len(codes) == 1 else Several(codes)
+        m = _WORD.fullmatch(piece)
+        if m is None:
+            return BAD
+        if m.lastgroup == "op":
+            return self.terminals[piece]
+        if m.lastgroup == "id" and piece in self.fixed:
+            return self.fixed[piece]
+        return self.choice.get(piece, self.kinds[m.lastgroup])
+
+
+_memos: dict[int, _Terminals] = {}
+
+
+class Places:
+    """Places of the words among pieces, worked out when one is asked for."""
+
+    def __init__(self, pieces: list[str], kinds: list):
+        self.pieces, self.kinds, self.size = pieces, kinds, sum(k is not None for k in kinds) + 1
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, number: int) -> int:
+        starts = itertools.accumulate(map(len, self.pieces), initial=0)
+        return next(itertools.islice((at for at, kind in zip(starts, [*self.kinds, 0]) if kind is not None), number, None))
+
+
+def words(text: str, terminals: dict[str, int]) -> tuple[list, Places, int | None]:
+    """Terminals and their places; what is no word is BAD, so that the parser stops there."""
     if "\\u" in text:
         text = _ESCAPED.sub(lambda m: m[1] + chr(int(m[2], 16)), text)
     if text.endswith("\x1a"):
         text = text[:-1]
-    fixed = {w: terminals[w] if w in terminals else -1 for w in KEYWORDS}
-    identifier = terminals["ID"]
-    choice = {w: (terminals[w], identifier) for w in CONTEXTUAL}
-    kinds = {"float": terminals["FLOAT"], "int": terminals["INT"], "text": terminals["STRING"], "string": terminals["STRING"], "char": terminals["CHAR"], "non": terminals["non-sealed"]}
-    out, places, at, end = [], [], 0, len(text)
-    match = _WORD.match
-    number_end = 0
-    while at < end:
-        m = match(text, at)
-        if m is None:
-            return out, places, at
-        kind = m.lastgroup
-        if kind == "space":
-            at = m.end()
-            continue
-        places.append(at)
-        if kind == "id":
-            if at and at == number_end:
-                return out, places, at
-            w = m.group()
-            out.append(fixed.get(w) or choice.get(w) or identifier)
-        elif kind == "op":
-            out.append(terminals[m.group()])
-        elif kind == "gt":
-            out.append(terminals[">_" if text[at + 1 : at + 2] in (">", "=") and at + 1 < end else ">"])
-        else:
-            if kind in ("int", "float"):
-                if at and at == number_end:
-                    return out, places, at
-                number_end = m.end()
-            out.append(kinds[kind])
-        at = m.end()
-    places.append(end)
+    memo = _memos.get(id(terminals))
+    if memo is None or memo.terminals is not terminals:
+        memo = _memos[id(terminals)] = _Terminals(terminals)
+    pieces = _PIECE.findall(text)
+    kinds = list(map(memo.__getitem__, pieces))
+    out = [k for k in kinds if k is not None]
     out.append(0)
-    return out, places, None
+    return out, Places(pieces, kinds), None

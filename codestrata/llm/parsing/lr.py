@@ -17,6 +17,7 @@ class Tables:
     def __init__(self, terminals: dict[str, int], action: list[dict], goto: list[dict], lhs: list[int], size: list[int]):
         self.terminals, self.action, self.goto, self.lhs, self.size = terminals, action, goto, lhs, size
         self.names = {v: k for k, v in terminals.items()}
+        self.store: _Store | None = None
 
     def expected(self, state: int) -> list[str]:
         """Terminals that some action of `state` takes."""
@@ -244,63 +245,110 @@ def build(text: str, prefer_shift: tuple[str, ...] = ()) -> Tables:
     return Tables(terminals, action, goto, lhs, [len(r) for r in rhs])
 
 
-def recognise(tables: Tables, tokens) -> int | None:
-    """None if the token stream is a sentence of the grammar, else the number of the first token that can't go on.
+class Several(tuple):
+    """Terminals that one word stands for, in this order."""
+
+
+class _Stacks(dict):
+    """A set of stacks that are open after the words so far, with those that follow it by the next terminal.
 
-    `tokens` yields a terminal, or a tuple of the terminals a word may be; the end is told by END's number (0), which
-    must come last. Stacks are linked pairs; where several actions are open, each stack goes on by itself and equal
-    ones are merged.
+    A stack is a node (state, the node below), and equal stacks are one node, so that the way from one set of stacks to
+    the next is worked out once, however often a file, or another, comes by.
     """
-    action, goto, lhs, size = tables.action, tables.goto, tables.lhs, tables.size
-    stack = (0, None)
-    several = None
-    for number, token in enumerate(tokens):
-        if several is None and type(token) is int:
-            while True:
-                act = action[stack[0]].get(token)
-                if act is None:
-                    return number
-                if type(act) is not int:
-                    several = [stack]
-                    break
-                if act > 0:
-                    stack = (act, stack)
+
+    __slots__ = ("nodes", "store")
+
+    def __init__(self, nodes: tuple, store: _Store):
+        super().__init__()
+        self.nodes, self.store = nodes, store
+
+    def __missing__(self, token) -> _Stacks | bool | None:
+        if type(token) is Several:
+            stacks = self
+            for word in token:
+                stacks = stacks[word]
+                if stacks is None or stacks is True:
                     break
-                if act == 0:
-                    return None
-                node = stack
-                for _ in range(size[-act]):
-                    node = node[1]
-                stack = (goto[node[0]][lhs[-act]], node)
-            if several is None:
-                continue
-        elif several is None:
-            several = [stack]
-        shifted: list = []
-        for word in (token,) if type(token) is int else token:
-            todo = list(several)
+            return stacks
+        self[token] = found = self.store.follow(self.nodes, (token,) if type(token) is int else token)
+        return found
+
+
+class _Store:
+    """Nodes and sets of stacks of one grammar, forgotten together when they are many."""
+
+    LIMIT = 300_000
+
+    def __init__(self, tables: Tables):
+        self.tables = tables
+        self.forget()
+
+    def forget(self) -> None:
+        self.below: dict[tuple, tuple] = {}
+        self.sets: dict[tuple, _Stacks] = {}
+        self.start = self.stacks((self.node(0, None),))
+
+    def node(self, state: int, below: tuple | None) -> tuple:
+        key = (state, id(below))  # what is below lives as long as the node that is found by it
+        found = self.below.get(key)
+        if found is None:
+            found = self.below[key] = (state, below)
+        return found
+
+    def stacks(self, nodes: tuple) -> _Stacks:
+        key = tuple(map(id, nodes))
+        found = self.sets.get(key)
+        if found is None:
+            found = self.sets[key] = _Stacks(nodes, self)
+        return found
+
+    def follow(self, nodes: tuple, words: tuple) -> _Stacks | bool | None:
+        """The stacks after a word that is one of several terminals; None if none goes on, True if the text is accepted."""
+        action, goto, lhs, size = self.tables.action, self.tables.goto, self.tables.lhs, self.tables.size
+        shifted: dict[int, tuple] = {}
+        for word in words:
+            todo, seen = list(nodes), set(map(id, nodes))
             for node in todo:  # grows while it is walked
                 act = action[node[0]].get(word)
                 if act is None:
                     continue
                 for a in (act,) if type(act) is int else act:
                     if a > 0:
-                        new = (a, node)
-                        if new not in shifted:
-                            shifted.append(new)
+                        new = self.node(a, node)
+                        shifted[id(new)] = new
                     elif a == 0:
-                        return None
+                        return True
                     else:
                         base = node
                         for _ in range(size[-a]):
                             base = base[1]
-                        new = (goto[base[0]][lhs[-a]], base)
-                        if new not in todo:
+                        new = self.node(goto[base[0]][lhs[-a]], base)
+                        if id(new) not in seen:
+                            seen.add(id(new))
                             todo.append(new)
-        if not shifted:
+        return self.stacks(tuple(shifted[k] for k in sorted(shifted))) if shifted else None
+
+
+def recognise(tables: Tables, tokens) -> int | None:
+    """None if the token stream is a sentence of the grammar, else the number of the first token that can't go on.
+
+    `tokens` yields a terminal, a tuple of the terminals a word may be, or Several; the end is told by END's number (0),
+    which must come last. Where several actions are open, each stack goes on by itself and equal ones are merged.
+    """
+    store = tables.store
+    if store is None:
+        store = tables.store = _Store(tables)
+    elif len(store.below) > store.LIMIT:
+        store.forget()
+    stacks, number = store.start, -1
+    for number, token in enumerate(tokens):
+        stacks = stacks[token]
+        if stacks is None:
             return number
-        if len(shifted) == 1:
-            stack, several = shifted[0], None
-        else:
-            several = shifted
-    return number if tokens else 0
+        if stacks is True:
+            return None
+        if not number & 0xFFFF and len(store.below) > store.LIMIT:
+            nodes = stacks.nodes
+            store.forget()
+            stacks = store.stacks(nodes)
+    return max(number, 0)

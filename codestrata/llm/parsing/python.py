@@ -55,7 +55,7 @@ class _Reader:
                 raise _Stop(m.start())
         elif "r" not in prefix and "\\" in inside:
             self.escapes(inside, m.start())
-        self.put(self.t["STRING"], m.start())
+        self.put(self.t["BYTES" if "b" in prefix else "STRING"], m.start())
         return body.end()
 
     def escapes(self, inside: str, at: int) -> None:
@@ -143,9 +143,14 @@ class _Reader:
         fresh = not field  # at the start of a logical line
         while True:
             if fresh and not opened:
-                column = alt = 0
-                while at < end and text[at] in " \t\f":
-                    if text[at] == " ":
+                column = alt = split = 0
+                while at < end and (text[at] in " \t\f" or text[at] == "\\"):
+                    if text[at] == "\\":  # an indent goes on in the next line; what stands before the first such place counts, if anything does
+                        if text[at + 1 : at + 2] not in ("\r", "\n"):
+                            break
+                        split = split or column
+                        at += 2 if text.startswith("\r\n", at + 1) else 1
+                    elif text[at] == " ":
                         column, alt = column + 1, alt + 1
                     elif text[at] == "\t":
                         column, alt = (column // 8 + 1) * 8, alt + 1
@@ -159,12 +164,8 @@ class _Reader:
                         break
                     at += 2 if text.startswith("\r\n", at) else 1
                     continue
-                if text[at] == "\\" and regex.match(r"\\(?:\r\n|\r|\n)", text[at : at + 3]):
-                    at += 3 if text.startswith("\\\r\n", at) else 2
-                    while at < end and text[at] in " \t\f":
-                        at += 1
-                    if at >= end or text[at] in "\r\n#":
-                        continue
+                if split:
+                    column = alt = split
                 fresh = False
                 top = indents[-1]
                 if column == top[0]:

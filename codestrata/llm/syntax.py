@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from importlib import resources
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +58,7 @@ def first_error(language: str, text: str) -> int | None:
 
 
 def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[tuple[str, int], int | None] = {}  # faults of contents that came before in this task
     for batch in batches:
         lines: list[int | None] = []
         columns: list[int | None] = []
@@ -65,7 +67,12 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if language is None or text is None:
                 fault, judged = None, None
             else:
-                fault = first_error(language, text)
+                key = (language, xxhash.xxh3_128_intdigest(text.encode("utf-8", "surrogatepass")))
+                if key not in known:
+                    if len(known) >= 100_000:
+                        known.clear()
+                    known[key] = first_error(language, text)
+                fault = known[key]
                 judged = fault is None
             good.append(judged)
             lines.append(None if fault is None else text.count("\n", 0, fault) + 1)
