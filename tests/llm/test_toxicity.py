@@ -41,6 +41,30 @@ def test_digits_and_signs_are_not_limited():
         assert w[token] is None, token
 
 
+def test_tokens_of_any_length():
+    w = weigher()
+    for token in ("sh" + "i" * 100_000 + "t", "f" + "." * 60 + "u.c.k", "w-h-o-r-e" + "-" * 5_000, "fuuuuu" + "u" * 50 + "ck!"):
+        assert w[token] is not None, token[:20]
+    for token in ("x" * 1_000_000, "ab" * 200_000, "s" * 300_000, "4" * 100_000, "http://" + "a/b." * 50_000):
+        assert w[token] is None
+
+
+def test_own_words():
+    weights = {"bitch": 2.0, "cock": 2.0}
+    model = tx.CharacterModel({"bitch": 3.0, "cock": 3.0, "the": 50.0})
+    assert tx.own_words({"bitcli": 40, "bitch": 30, "eock": 1, "cock": 3}, weights, model) == {"bitcli"}
+    assert tx.own_words({"bitcli": 2, "bitch": 300}, weights, model) == set() and tx.own_words({}, weights, model) == set()
+
+
+def test_corpus_statistics(spark):
+    documents = spark.createDataFrame([(1, "Whore, wh0re whore w\u00e4r c\u014dck"), (2, None), (3, "")] * 2, "doc_id long, text string")
+    counts, triples = tx.corpus_statistics(documents, {"whore": 6.0})
+    assert counts == {"whore": 4} and triples["^^w"] == 6 and triples["re$"] == 4 and "oc\u014d" not in triples
+    more, _ = tx.corpus_statistics(documents.unionByName(documents), {"whore": 6.0})
+    assert more == {"whore": 8, "wh0re": 4}
+    assert tx.corpus_statistics(documents.where("false"), {"whore": 6.0}) == ({}, {})
+
+
 def test_scores():
     w = weigher()
     assert tx.score(None, w) == tx.score("", w) == tx.score(" \n ", w) == 0.0
