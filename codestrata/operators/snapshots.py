@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+BUCKET_ROWS = 50_000
 CHUNK_ROWS = 64
 KEY = ("branch", "pull_request_id", "class_name", "method_name")
 
@@ -30,20 +30,20 @@ def _digest(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *KEY, F.coalesce("hash", F.lit("\u0002")))
 
 
-def changes(snapshots: DataFrame, log: DataFrame, buckets: int = BUCKETS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def changes(snapshots: DataFrame, log: DataFrame, bucket_rows: int = BUCKET_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(snap_no, project_id, branch, pull_request_id, class_name, method_name, change) against the snapshot before.
 
-    One shuffle, by (project, hash bucket of the key): duplicates, chunks, digests and the join all reuse it, and a
-    project with most of the rows is spread over `buckets` tasks, which grow only with a project's size.
+    One shuffle, by (project, hash bucket of the key): duplicates, chunks, digests and the join all reuse it. A project
+    has as many buckets as its rows fill at `bucket_rows` each, so that one with most of the rows is spread over many
+    tasks and a small one isn't cut to pieces. Projects are counted before, one row each, as many as the log has at most.
     """
-    spark = snapshots.sparkSession
-    keep = current_deliveries(log).where(F.col("prev_snap").isNotNull() | F.col("next_snap").isNotNull())
+    sizes = snapshots.groupBy("project_id").agg((F.floor(F.count(F.lit(1)) / bucket_rows) + 1).alias("buckets"))
+    keep = current_deliveries(log).where(F.col("prev_snap").isNotNull() | F.col("next_snap").isNotNull()).join(sizes, "project_id")
     fields = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in KEY]
     rows = snapshots.select("project_id", "snap_no", "delivery_no", *fields, F.lower("ast_hash").alias("hash"))
-    rows = rows.join(keep, ["project_id", "snap_no", "delivery_no"]).drop("delivery_no")
+    rows = rows.join(F.broadcast(keep), ["project_id", "snap_no", "delivery_no"]).drop("delivery_no")  # the log's rows, a fixed table
     rows = rows.withColumn("project_id", F.coalesce("project_id", F.lit(""))).withColumn("kh", F.xxhash64("project_id", *KEY))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("bucket", F.pmod("kh", F.lit(buckets))).repartition(parts, "project_id", "bucket")
+    rows = rows.withColumn("bucket", F.pmod("kh", "buckets")).repartition("project_id", "bucket")
     rows = rows.groupBy("project_id", "bucket", "snap_no", "prev_snap", "next_snap", "kh", *KEY).agg(F.max("hash").alias("hash"))
     # the same row is the new side against the snapshot before and the old side of the one after
     new = F.when(F.col("prev_snap").isNotNull(), F.struct(F.col("snap_no").alias("pair"), F.lit(True).alias("new")))

@@ -118,8 +118,8 @@ def test_inheritance_spellings(spark):
 SNAPS = "snap_no int, delivery_no int, project_id string, branch string, pull_request_id string, class_name string, method_name string, ast_hash string, pair int"
 
 
-@pytest.mark.parametrize("buckets,chunk", [(1, 2), (64, 64)])
-def test_changes_against_comparison(spark, buckets, chunk):
+@pytest.mark.parametrize("bucket_rows,chunk", [(100_000, 2), (20, 64)])
+def test_changes_against_comparison(spark, bucket_rows, chunk):
     random.seed(5)
     log, rows, states = [], [], {}
     for p in ("1", "2"):
@@ -142,7 +142,7 @@ def test_changes_against_comparison(spark, buckets, chunk):
             old, new = states[p, a], states[p, b]
             want |= {(b, p, "main", "", *k, "added") for k in new.keys() - old.keys()} | {(b, p, "main", "", *k, "removed") for k in old.keys() - new.keys()}
             want |= {(b, p, "main", "", *k, "changed") for k in new.keys() & old.keys() if new[k] != old[k]}
-    out = snapshots.changes(spark.createDataFrame(rows, SNAPS), spark.createDataFrame(log, "project_id string, snap_no int, delivery_no int"), buckets, chunk)
+    out = snapshots.changes(spark.createDataFrame(rows, SNAPS), spark.createDataFrame(log, "project_id string, snap_no int, delivery_no int"), bucket_rows, chunk)
     got = [tuple(r[c] for c in ("snap_no", "project_id", "branch", "pull_request_id", "class_name", "method_name", "change")) for r in out.collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
