@@ -16,8 +16,7 @@ from codestrata.sources import files, java_facts, store
 def analyze(spark: SparkSession, root: str, project_id: str, branch: str = "main", targets: list[str] | None = None):
     """Chunks of the Java files below `root`."""
     found = files.only_targets(files.source_files(spark, root), targets or [], parse_all=not targets).withColumn("file_id", F.xxhash64("file_path"))
-    facts = java_facts.extract(found).join(found.select("file_id", "file_path", "content"), "file_id")
-    return chunks.build(facts, project_id, branch)
+    return chunks.build(java_facts.extract(found), project_id, branch, found)
 
 
 def parser() -> argparse.ArgumentParser:

@@ -1,7 +1,8 @@
 """Chunks out of extracted classes: names resolved, endpoints read, implementors listed.
 
-A call is resolved where one method only has its simple name; others are dropped, as are types no rule resolves. A
-chunk's arrays hold what its own source refers to; `implements` lists the classes that implement it.
+Calls, types and fields that no rule of `symbols` resolves are dropped. A chunk's arrays hold what its own source refers
+to; `implements` lists the classes below it over any number of steps, a method's `inheritance_info` what implements it.
+Facts are written once, and every part reads them from there.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from codestrata.functions import endpoints, filters
 from codestrata.operators import symbols
 from codestrata.schema import CHUNK
+from codestrata.session import cut
 
 #: Advice on methods that carry an annotation.
 ADVICE = r"@(?:Around|Before|After)\s*\(\s*(?:value\s*=\s*)?\"@annotation\(([\w.]+)\)"
@@ -33,32 +35,35 @@ def _annotation_names(texts: str):
     return F.filter(full, lambda n: ~filters.is_framework(n))
 
 
-def build(classes: DataFrame, project_id: str | int, branch: str) -> DataFrame:
-    """Chunk rows of class facts (java_facts.extract, with file_path and content joined in where wanted)."""
-    for name in ("file_path", "content"):
-        if name not in classes.columns:
-            classes = classes.withColumn(name, F.lit(None).cast("string"))
-    names = symbols.symbols(classes)
+def build(facts: DataFrame, project_id: str | int, branch: str, sources: DataFrame | None = None) -> DataFrame:
+    """Chunk rows of class facts (java_facts.extract); `sources` (file_id, file_path, content) gives paths and texts."""
+    classes = cut(facts)
+    names = cut(symbols.symbols(classes))
     used = symbols.used_types(classes, names).groupBy("full_class_name").agg(_set("used").alias("class_used"))
-    implementors = symbols.implementations(classes, names).groupBy(F.col("supertype").alias("full_class_name")).agg(_set("implementor").alias("implements"))
+    above = cut(symbols.supertypes(cut(symbols.implementations(classes, names))))
+    implementors = above.groupBy(F.col("supertype").alias("full_class_name")).agg(_set("implementor").alias("implements"))
     class_text = F.concat_ws(" ", "annotations")
     m = classes.select("file_id", "full_class_name", "package", "imports", class_text.alias("class_text"), F.posexplode("methods").alias("at", "m"))
     m = m.withColumn("full_name", F.concat("full_class_name", F.lit("."), "m.signature"))
-    unique = m.groupBy(F.col("m.name").alias("callee")).agg(F.count_distinct("full_name").alias("n"), F.min("full_name").alias("target")).where("n = 1").drop("n")
-    calls = m.select("file_id", "full_class_name", "at", F.explode("m.calls.name").alias("callee")).join(unique, "callee").groupBy("file_id", "full_class_name", "at").agg(_set("target").alias("calls"))
+    calls = symbols.resolved_calls(classes, names, above).groupBy("file_id", "full_class_name", "at").agg(_set("callee").alias("calls"))
+    fields = m.select("file_id", "full_class_name", "package", "imports", "at", F.explode("m.field_access").alias("field")).withColumn("name", F.substring_index("field", ".", 1))
+    fields = symbols.resolve_types(fields, names).where("resolved is not null").withColumn("field", F.concat("resolved", F.lit("."), F.substring_index("field", ".", -1)))
+    fields = fields.groupBy("file_id", "full_class_name", "at").agg(_set("field").alias("fields"))
+    bodies = symbols.method_implementations(classes, above).groupBy("full_name").agg(_set("implementation").alias("implemented"))
     types = m.select("file_id", "full_class_name", "package", "imports", "at", F.explode(filters.project_names(F.col("m.used_types"))).alias("name"))
     types = symbols.resolve_types(types, names).where("resolved is not null").groupBy("file_id", "full_class_name", "at").agg(_set("resolved").alias("types"))
     key = ["file_id", "full_class_name", "at"]
     found = F.flatten(F.transform("m.annotations", lambda a: endpoints.endpoints(a, F.col("class_text"), F.concat_ws(" ", "m.annotations"), F.col("m.return_type"), F.regexp_extract("m.signature", r"(\(.*)$", 1))))
     method = F.struct(
-        F.col("m.signature").alias("name"), "full_name", F.lit("").alias("body"), F.col("m.shape").alias("ast_hash"),
+        F.col("m.signature").alias("name"), "full_name", F.coalesce("m.body", F.lit("")).alias("body"), F.col("m.shape").alias("ast_hash"),
         F.transform(F.coalesce("calls", F.expr(_TEXTS)), lambda c: F.struct(c.alias("name"), F.expr("cast(array() as array<struct<type:string,value:string>>)").alias("params"))).alias("method_calls"),
-        F.coalesce("types", F.expr(_TEXTS)).alias("used_types"), F.expr(_TEXTS).alias("field_access"), F.expr(_TEXTS).alias("inheritance_info"), F.col("found").alias("endpoint"),
+        F.coalesce("types", F.expr(_TEXTS)).alias("used_types"), F.coalesce("fields", F.expr(_TEXTS)).alias("field_access"), F.coalesce("implemented", F.expr(_TEXTS)).alias("inheritance_info"), F.col("found").alias("endpoint"),
         F.when(F.size("found") > 0, "rest_endpoint").otherwise("regular").alias("type"), F.lit(str(project_id)).alias("project_id"), F.lit(branch).alias("branch"), _known(F.nullif(F.regexp_extract(F.concat_ws(" ", "m.annotations"), ADVICE, 1), F.lit(""))).alias("handles_annotation"),
         _annotation_names("m.annotations").alias("annotations"),
     )
-    methods = m.withColumn("found", found).join(calls, key, "left").join(types, key, "left").groupBy("file_id", "full_class_name").agg(F.sort_array(F.collect_list(F.struct("at", method.alias("method")))).alias("ms"))
-    rows = classes.join(methods, ["file_id", "full_class_name"], "left").join(used, "full_class_name", "left").join(implementors, "full_class_name", "left")
+    methods = m.withColumn("found", found).join(calls, key, "left").join(types, key, "left").join(fields, key, "left").join(bodies, "full_name", "left").groupBy("file_id", "full_class_name").agg(F.sort_array(F.collect_list(F.struct("at", method.alias("method")))).alias("ms"))
+    texts = sources.select("file_id", "file_path", "content").dropDuplicates(["file_id"]) if sources is not None else facts.sparkSession.createDataFrame([], "file_id long, file_path string, content string")
+    rows = classes.join(texts, "file_id", "left").join(methods, ["file_id", "full_class_name"], "left").join(used, "full_class_name", "left").join(implementors, "full_class_name", "left")
     none = F.expr(_TEXTS)
     out = rows.select(
         "package", "class_name", "full_class_name", "file_path", "content", F.col("shape").alias("ast_hash"), F.when(F.col("is_abstract"), F.coalesce("implements", none)).otherwise(none).alias("implements"),

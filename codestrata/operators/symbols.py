@@ -1,7 +1,9 @@
 """Symbols and name resolution over extracted classes, by joins in place of a language server.
 
-A simple name is resolved by the file's imports, then its package, then as the only class of that name. Weaker than a
-compiler: overloads, inherited members and receivers' types aren't told apart.
+A simple name is resolved by the file's imports, then its package, then as the only class of that name. A call is
+resolved by the type of its receiver (the class itself, a field, parameter or local variable, or a class's name), in that
+class or the nearest of its supertypes, an overload by the number of arguments; where the file doesn't tell the type, by
+its name if one method only has it. Types of expressions aren't worked out.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.filters import project_names
+from codestrata.operators import traverse
 
 
 def symbols(classes: DataFrame) -> DataFrame:
@@ -45,6 +48,45 @@ def implementations(classes: DataFrame, table: DataFrame) -> DataFrame:
     return resolve_types(refs, table).where("resolved is not null").select(F.col("full_class_name").alias("implementor"), F.col("resolved").alias("supertype")).distinct()
 
 
+def supertypes(direct: DataFrame) -> DataFrame:
+    """(implementor, supertype, distance) over any number of steps, out of direct pairs (implementor, supertype)."""
+    rels = direct.select(F.col("implementor").alias("src"), F.col("supertype").alias("dst"), F.lit("EXTEND").alias("type"))
+    above = traverse.closure(direct.select(F.col("implementor").alias("node_id")), rels, "EXTEND>", max_level=64)
+    return above.where("seed <> node").select(F.col("seed").alias("implementor"), F.col("node").alias("supertype"), F.col("depth").alias("distance"))
+
+
+def methods_of(classes: DataFrame) -> DataFrame:
+    """(owner, at, name, full_name, parameters, is_abstract): a row per method, `at` its place in its class."""
+    m = classes.select("file_id", F.col("full_class_name").alias("owner"), F.posexplode("methods").alias("at", "m"))
+    return m.select("file_id", "owner", "at", F.col("m.name").alias("name"), F.concat("owner", F.lit("."), "m.signature").alias("full_name"), F.col("m.parameters").alias("parameters"), F.col("m.is_abstract").alias("is_abstract"))
+
+
+def resolved_calls(classes: DataFrame, table: DataFrame, above: DataFrame) -> DataFrame:
+    """(file_id, full_class_name, at, callee) of calls whose method is found, once per method and callee."""
+    methods = methods_of(classes)
+    key = ["file_id", "full_class_name", "at"]
+    calls = classes.select("file_id", "full_class_name", "package", "imports", F.posexplode("methods").alias("at", "m")).select("file_id", "full_class_name", "package", "imports", "at", F.explode(F.array_distinct("m.calls")).alias("c"))
+    calls = calls.select(*key, "package", "imports", F.col("c.name").alias("called"), F.col("c.arguments").alias("given"), F.col("c.type").alias("name"), (F.col("c.receiver").isNull() | F.col("c.receiver").isin("this", "super")).alias("inner"))
+    typed = resolve_types(calls.where("name is not null"), table).withColumn("owner", F.when(F.col("inner"), F.col("full_class_name")).otherwise(F.col("resolved"))).where("owner is not null")
+    up = above.select(F.col("implementor").alias("owner"), F.col("supertype").alias("holder"), "distance")
+    asked = typed.select(*key, "called", "given", "owner")
+    own = asked.withColumn("holder", F.col("owner")).withColumn("distance", F.lit(0))
+    holders = own.unionByName(asked.join(up, "owner"))
+    held = methods.select(F.col("owner").alias("holder"), F.col("name").alias("called"), "full_name", F.size("parameters").alias("takes"))
+    best = F.min(F.struct((F.col("takes") != F.col("given")).alias("other"), "distance", "full_name")).alias("best")
+    found = holders.join(held, ["holder", "called"]).groupBy(*key, "called", "given", "owner").agg(best).select(*key, F.col("best.full_name").alias("callee"))
+    only = methods.groupBy(F.col("name").alias("called")).agg(F.count_distinct("full_name").alias("n"), F.min("full_name").alias("callee")).where("n = 1").drop("n")
+    untold = calls.where("name is null").join(only, "called").select(*key, "callee")
+    return found.unionByName(untold).distinct()
+
+
+def method_implementations(classes: DataFrame, above: DataFrame) -> DataFrame:
+    """(full_name, implementation): methods without a body, and those of subtypes that have the same name and simple parameter types."""
+    methods = methods_of(classes)
+    kept = methods.where(~F.col("is_abstract")).select(F.col("owner").alias("implementor"), "name", "parameters", F.col("full_name").alias("implementation"))
+    return methods.where("is_abstract").withColumnRenamed("owner", "supertype").join(above, "supertype").join(kept, ["implementor", "name", "parameters"]).select("full_name", "implementation").distinct()
+
+
 def document_symbols(classes: DataFrame) -> DataFrame:
     """(file_id, container, name, kind, line) of everything a file declares."""
     own = classes.select("file_id", F.col("parent_class").alias("container"), F.col("class_name").alias("name"), "kind", F.lit(None).cast("int").alias("line"))

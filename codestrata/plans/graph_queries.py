@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.functions import endpoints, filters, names
+from codestrata.functions import comments, endpoints, filters, names
 from codestrata.operators import branches, chunks, edges, importing, lookup, nodes, symbols, traverse
 from codestrata.plans import fixtures
 from codestrata.schema import NODE, REL
@@ -534,14 +534,26 @@ def edge_request_union(spark, d):
     return asked.select("kind", *[F.coalesce(c, F.lit("")).alias(c) for c in ("source_class", "source_method", "target_class", "target_method")])
 
 
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    """The latest delivery of every Java file; of equally late ones that of the smallest hash."""
+    files = table(spark, d, "source_files").where(F.lower("file_path").endswith(".java") & F.col("file_id").isNotNull())
+    order = F.struct(F.coalesce(F.col("loaded_at"), F.lit("0001-01-01").cast("timestamp")), F.xxhash64("file_path", "content"))
+    return files.groupBy("file_id").agg(F.max_by(F.struct("file_path", "content"), order).alias("r")).select("file_id", "r.*")
+
+
 def _classes(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "source_files").where(F.lower("file_path").endswith(".java")).dropDuplicates(["file_id"])
-    return java_facts.extract(files)
+    return java_facts.extract(_sources(spark, d))
+
+
+def _facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Facts, written once, and their symbols."""
+    classes = cut(_classes(spark, d))
+    return classes, symbols.symbols(classes)
 
 
 @query()
 def source_chunks(spark, d):
-    return chunks.build(cut(_classes(spark, d)), 1, "main")
+    return chunks.build(_classes(spark, d), 1, "main", _sources(spark, d))
 
 
 @query()
@@ -572,11 +584,47 @@ def method_calls(spark, d):
 
 @query()
 def class_used_types(spark, d):
-    classes = _classes(spark, d)
-    return symbols.used_types(classes, symbols.symbols(classes))
+    return symbols.used_types(*_facts(spark, d))
 
 
 @query()
 def class_implementations(spark, d):
-    classes = _classes(spark, d)
-    return symbols.implementations(classes, symbols.symbols(classes))
+    return symbols.implementations(*_facts(spark, d))
+
+
+@query()
+def all_implementations(spark, d):
+    return symbols.supertypes(symbols.implementations(*_facts(spark, d)))
+
+
+@query()
+def resolved_calls(spark, d):
+    classes, names = _facts(spark, d)
+    return symbols.resolved_calls(classes, names, symbols.supertypes(symbols.implementations(classes, names))).select("full_class_name", "at", "callee").distinct()
+
+
+@query()
+def method_implementations(spark, d):
+    classes, names = _facts(spark, d)
+    return symbols.method_implementations(classes, symbols.supertypes(symbols.implementations(classes, names)))
+
+
+@query()
+def method_bodies(spark, d):
+    return _classes(spark, d).select("file_id", "full_class_name", F.explode("methods").alias("m")).select("file_id", "full_class_name", F.col("m.signature").alias("signature"), F.sha2("m.body", 256).alias("body"), F.length("m.body").alias("length"))
+
+
+@query()
+def field_access(spark, d):
+    return _classes(spark, d).select("file_id", "full_class_name", F.explode("methods").alias("m")).select("file_id", "full_class_name", F.col("m.signature").alias("signature"), F.explode("m.field_access").alias("field"))
+
+
+@query()
+def source_without_comments(spark, d):
+    return _sources(spark, d).select("file_id", comments.without_comments(F.col("content")).alias("content"))
+
+
+@query(f"SELECT file_id, list_filter(range(len(string_split(content, chr(10)))), lambda k: len(list_filter({_list_sql(filters.LOMBOK_MARKERS)}, lambda m: contains(string_split(content, chr(10))[k + 1], m))) > 0)::INTEGER[]::VARCHAR AS lines FROM source_files WHERE content IS NOT NULL")
+def lombok_lines(spark, d):
+    lines = filters.marked_lines(F.col("content"), filters.LOMBOK_MARKERS)
+    return table(spark, d, "source_files").where("content is not null").select("file_id", F.concat(F.lit("["), F.array_join(lines, ", "), F.lit("]")).alias("lines"))

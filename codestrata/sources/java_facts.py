@@ -26,10 +26,14 @@ ACCESS = frozenset(("public", "protected", "private"))
 TYPE_KINDS = frozenset(("class", "interface", "enum", "record"))
 HANDLERS = frozenset(("ConstraintValidator",))
 NO_CALL = frozenset("if for while switch catch synchronized return throw new super this assert try do else case".split())
-METHOD = "struct<name:string,signature:string,return_type:string,annotations:array<string>,calls:array<struct<receiver:string,name:string>>,used_types:array<string>,shape:string,is_abstract:boolean,line:int,column_start:int,column_end:int>"
+CALL = "struct<receiver:string,name:string,type:string,arguments:int>"
+METHOD = (
+    f"struct<name:string,signature:string,return_type:string,parameters:array<string>,annotations:array<string>,calls:array<{CALL}>,field_access:array<string>,used_types:array<string>,body:string,shape:string,"
+    "is_abstract:boolean,line:int,column_start:int,column_end:int>"
+)
 SCHEMA = (
     "file_id long, package string, kind string, class_name string, full_class_name string, parent_class string, is_nested boolean, is_abstract boolean, annotations array<string>, "
-    f"supertypes array<string>, handles string, used_types array<string>, imports map<string,string>, shape string, methods array<{METHOD}>"
+    f"supertypes array<string>, handles string, fields array<struct<name:string,type:string>>, used_types array<string>, imports map<string,string>, shape string, methods array<{METHOD}>"
 )
 
 
@@ -253,24 +257,101 @@ class _Source:
                 return k, notes, words
 
     def types_in(self, a: int, b: int) -> list[str]:
-        """Names that stand where a type may: capitalised, not called and not behind a dot of an expression."""
+        """Capitalised names among the tokens of a declaration, those of annotations and behind dots aside."""
         out = []
         for k in range(a, b):
             kind, word = self.tokens[k][:2]
-            if kind == "name" and word[:1].isupper() and self.word(k + 1) not in ("(", ".") or kind == "name" and word[:1].isupper() and self.word(k - 1) == "new":
-                if self.word(k - 1) != ".":
-                    out.append(word)
+            if kind == "name" and word[:1].isupper() and self.word(k - 1) not in (".", "@") and self.word(k + 1) != ".":
+                out.append(word)
         return list(dict.fromkeys(out))
 
-    def calls_in(self, a: int, b: int) -> list[tuple[str | None, str]]:
+    def type_end(self, k: int) -> int:
+        """Behind the type that begins at `k`, or `k` if none does."""
+        if self.tokens[k][0] != "name" or self.word(k) in NO_CALL or self.word(k) in MODIFIERS:
+            return k
+        end = k + 1
+        while True:
+            if self.word(end) == "." and end + 1 < len(self.tokens) and self.tokens[end + 1][0] == "name":
+                end += 2
+            elif self.word(end) == "<":
+                depth, at = 0, end
+                while at < self.stop and (self.tokens[at][0] == "name" or self.word(at) in ("<", ">", ",", ".", "?", "&", "[", "]")):
+                    depth += (self.word(at) == "<") - (self.word(at) == ">")
+                    at += 1
+                    if depth == 0:
+                        break
+                if depth:
+                    return k
+                end = at
+            elif self.word(end) == "[" and self.word(end + 1) == "]":
+                end += 2
+            elif self.word(end) == "...":
+                return end + 1
+            else:
+                return end
+
+    def simple(self, a: int, b: int) -> str:
+        """The last name of a type without its arguments, with `[]` where it is an array."""
+        name, depth = "", 0
+        for k in range(a, b):
+            depth += (self.word(k) == "<") - (self.word(k) == ">")
+            if depth == 0 and self.tokens[k][0] == "name":
+                name = self.word(k)
+        return name + "[]" * (self.word(b - 1) in ("]", "..."))
+
+    def variables(self, a: int, b: int) -> Iterator[tuple[str, int, int]]:
+        """Names that are declared among tokens, each with where its type begins and ends."""
+        k = a
+        while k < b - 1:
+            if self.tokens[k][0] == "name" and self.word(k - 1) not in (".", "new", "@", "::"):
+                end = self.type_end(k)
+                if k < end < b and self.tokens[end][0] == "name" and self.word(end) not in NO_CALL and self.word(end) != "instanceof" and self.word(end + 1) in ("=", ";", ",", ":", ")", "[", "&&"):
+                    yield self.word(end), k, end
+                    k = end + 1
+                    continue
+            k += 1
+
+    def arguments_of(self, k: int, b: int) -> int:
+        """How many arguments stand in the round brackets that open at `k`."""
+        depth, count = 0, 0
+        for j in range(k, b):
+            word = self.word(j)
+            depth += (word in ("(", "[", "{")) - (word in (")", "]", "}"))
+            if depth == 0:
+                return count + (j > k + 1)
+            count += depth == 1 and word == "," and not self.in_type(j)
+        return count
+
+    def in_type(self, k: int) -> bool:
+        """Whether a comma parts type arguments: names and signs of types lead back to `<` behind a name, and on to `>`."""
+        j = k - 1
+        while self.tokens[j][0] == "name" or self.word(j) in (".", "?", ","):
+            j -= 1
+        after = k + 1
+        while after < len(self.tokens) and (self.tokens[after][0] == "name" or self.word(after) in (".", "?", ",", "[", "]")):
+            after += 1
+        return self.word(j) == "<" and self.word(after) in (">", "<")
+
+    def calls_in(self, a: int, b: int) -> list[tuple[str | None, str, int]]:
+        """(receiver, name, arguments) of calls; the receiver is '' behind another call or bracket, null for the class's own."""
         out = []
         for k in range(a, b):
             kind, word = self.tokens[k][:2]
             if kind == "name" and self.word(k + 1) == "(" and word not in NO_CALL and self.word(k - 1) != "new":
-                receiver = self.word(k - 2) if self.word(k - 1) == "." and self.tokens[k - 2][0] == "name" else None
-                out.append((receiver, word))
+                receiver = None
+                if self.word(k - 1) == ".":
+                    receiver = self.word(k - 2) if self.tokens[k - 2][0] == "name" and (self.word(k - 3) != "." or self.word(k - 4) == "this" or self.word(k - 2)[:1].isupper()) else ""
+                out.append((receiver, word, self.arguments_of(k + 1, b)))
         return out
 
+    def accesses(self, a: int, b: int) -> list[tuple[str, str]]:
+        """(receiver, field) where a field of this, of a variable or of a class is read or written."""
+        out = []
+        for k in range(a + 2, b):
+            if self.tokens[k][0] == "name" and self.word(k - 1) == "." and self.tokens[k - 2][0] == "name" and self.word(k - 3) != "." and self.word(k + 1) != "(" and self.word(k) not in ("class", "this", "super", "new"):
+                out.append((self.word(k - 2), self.word(k)))
+        return list(dict.fromkeys(out))
+
     def dotted(self, k: int) -> tuple[str, int]:
         """A name with dots and the place behind it and its semicolon, which may be missing."""
         end = k
@@ -330,7 +411,7 @@ class _Source:
         scope = ".".join([self.package] * bool(self.package) + outer)
         own = {
             "kind": kind, "class_name": name, "full_class_name": f"{scope}.{name}" if scope else name, "parent_class": scope if outer else None, "is_nested": bool(outer), "is_abstract": "abstract" in words or kind == "interface",
-            "annotations": notes, "supertypes": supers, "handles": handles, "shape": self.shape(start, end), "methods": [], "used_types": [],
+            "annotations": notes, "supertypes": supers, "handles": handles, "shape": self.shape(start, end), "methods": [], "fields": [], "used_types": [],
         }
         self.classes.append(own)
         k += 1
@@ -368,6 +449,8 @@ class _Source:
             k = self.skip(k, "<", ">") if self.word(k) == "<" else k + 1
         if self.word(k) != "(" or k >= self.stop:
             self.own["used_types"] += [t for t in self.types_in(first, k - 1) if t not in self.own["used_types"]]
+            if named > first:
+                self.own["fields"].append({"name": self.word(named), "type": self.simple(first, named)})
             return self.field_end(k)
         name, shut = self.word(k - 1), self.skip(k, "(", ")")
         if self.word(k - 2) == "." or self.word(first) in NO_CALL or name in NO_CALL:
@@ -382,10 +465,15 @@ class _Source:
             signature = name + re.sub(r"\s+([)>])", r"\1", re.sub(r"([(<])\s+", r"\1", " ".join(self.span(k, shut).split())))
             at = self.tokens[k - 1][2]
             column = at - self.text.rfind("\n", 0, at) - 1
+            inside = (body + 1, self.ends[body][0]) if has_body else (end, end)
+            given = list(self.variables(k + 1, shut))
+            declared = list(self.variables(*inside))
+            types = self.types_in(first, k - 1) + [t for _, i, j in (*given, *declared) for t in self.types_in(i, j)]
             self.own["methods"].append({
-                "name": name, "signature": signature, "return_type": self.span(first, k - 1), "annotations": notes, "calls": self.calls_in(body, end) if has_body else [],
-                "used_types": self.types_in(start, end), "shape": self.shape(start, end) if has_body else "", "is_abstract": shut_off or not has_body and "abstract" in words,
-                "line": self.text.count("\n", 0, at), "column_start": column, "column_end": column + len(name),
+                "name": name, "signature": signature, "return_type": self.span(first, k - 1), "parameters": [self.simple(i, j) for _, i, j in given], "annotations": notes, "calls": self.calls_in(*inside),
+                "field_access": self.accesses(*inside), "used_types": list(dict.fromkeys(types)), "body": self.span(*inside) if has_body else "", "shape": self.shape(start, end) if has_body else "",
+                "is_abstract": shut_off or not has_body and "abstract" in words, "line": self.text.count("\n", 0, at), "column_start": column, "column_end": column + len(name),
+                "variables": {n: self.simple(i, j) for n, i, j in (*given, *declared)},
             })
         return end
 
@@ -412,12 +500,28 @@ class _Source:
         return k + (k < self.stop and self.word(k) == ";")
 
 
+def _typed(classes: list[dict]) -> None:
+    """Gives calls and field accesses the simple types of their receivers, as far as the file tells them."""
+    by_name = {c["full_class_name"]: c for c in classes}
+    for c in classes:
+        fields, outer = {}, c
+        while outer is not None:
+            fields = {f["name"]: f["type"] for f in outer["fields"]} | fields
+            outer = by_name.get(outer["parent_class"])
+        for m in c["methods"]:
+            known = fields | m.pop("variables") | {"this": c["class_name"]}
+            type_of = lambda r: c["class_name"] if r is None else known.get(r, r if r[:1].isupper() else None)
+            m["calls"] = [{"receiver": r, "name": n, "type": type_of(r), "arguments": k} for r, n, k in m["calls"]]
+            m["field_access"] = [f"{t}.{f}" for r, f in m["field_access"] if (t := type_of(r))]
+
+
 def facts(text: str | None) -> list[dict]:
     """Classes of a source with what they declare and refer to, as far as a broken one can be read."""
     if not text:
         return []
     source = _Source(text)
     source.unit()
+    _typed(source.classes)
     return [{**c, "package": source.package, "imports": source.imports} for c in source.classes]
 
 
@@ -429,9 +533,7 @@ def extract(files: DataFrame) -> DataFrame:
         for frame in frames:
             rows = []
             for file_id, text in zip(frame["file_id"], frame["content"]):
-                for c in facts(text):
-                    c["methods"] = [{**m, "calls": [{"receiver": r, "name": n} for r, n in m["calls"]]} for m in c["methods"]]
-                    rows.append({"file_id": file_id, **c})
+                rows += [{"file_id": file_id, **c} for c in facts(text)]
             yield pd.DataFrame(rows, columns=columns)
 
     return files.select("file_id", "content").mapInPandas(run, SCHEMA)

@@ -171,13 +171,51 @@ def test_java_facts():
     assert set(found) == {"p.q.Outer", "p.q.Outer.E", "p.q.Outer.R", "p.q.Outer.N"}
     assert [m["signature"] for m in outer["methods"]] == ["get(int a, String b)", "later()"]
     assert outer["supertypes"] == ["Base", "Runnable", "I"] and outer["imports"] == {"Y": "x.Y"} and outer["is_abstract"]
-    assert outer["methods"][0]["calls"] == [("y", "call"), (None, "other")] and outer["methods"][1]["is_abstract"]
+    assert [(c["receiver"], c["name"], c["type"], c["arguments"]) for c in outer["methods"][0]["calls"]] == [("y", "call", "Y", 1), (None, "other", "Outer", 1)] and outer["methods"][1]["is_abstract"]
+    assert outer["methods"][0]["used_types"] == ["List", "Y", "String"] and outer["methods"][0]["parameters"] == ["int", "String"] and outer["fields"] == [{"name": "y", "type": "Y"}]
     assert [m["name"] for m in found["p.q.Outer.E"]["methods"]] == ["g"]
     same = java_facts.facts(JAVA.replace("// comment }", "").replace("get(", "fetch("))[0]
     assert same["methods"][0]["shape"] == outer["methods"][0]["shape"]
     assert java_facts.facts("class {{{") == [] and java_facts.facts(None) == [] and java_facts.facts("") == []
 
 
+SHOP = [
+    (1, "package a; public interface Base { int total(Item i); void end(); }"),
+    (2, "package a; public class Item { public long id; public long key() { return id; } public long key(int k) { return k; } static Item of() { return null; } }"),
+    (3, "package a; public abstract class Half implements Base { public void end() { this.stop(); } void stop() { } }"),
+    (4, """package b; import a.Half; import a.Item;
+public class Shop extends Half {
+  private final Item kept = Item.of();
+  // int total(Base b) { }
+  public int total(Item i) { long x = i.key(3) + kept.key() + i.id + Other.LIMIT; stop(); Unknown u = null; u.key(); chain().key(); only(); return MAX_VALUE; }
+  Item chain() { return kept; }
+  class Inner { void in() { kept.key(); } }
+}"""),
+    (5, "package c; class Other { static int LIMIT; void only() { } void key() { } }"),
+]
+
+
+def test_calls_fields_and_implementations(spark):
+    from codestrata.operators import chunks, symbols
+
+    sources = spark.createDataFrame(SHOP, "file_id long, content string").withColumn("file_path", F.concat(F.lit("f"), "file_id"))
+    built = {r.full_class_name: r for r in chunks.build(java_facts.extract(sources), 1, "main", sources).collect()}
+    shop = {m.name: m for m in built["b.Shop"].methods}["total(Item i)"]
+    assert [c.name for c in shop.method_calls] == ["a.Half.stop()", "a.Item.key()", "a.Item.key(int k)", "b.Shop.chain()"]
+    assert shop.field_access == ["a.Item.id", "c.Other.LIMIT"] and shop.used_types == ["a.Item"] and shop.body.startswith("long x = i.key(3)")
+    assert [c.name for c in built["b.Shop.Inner"].methods[0].method_calls] == ["a.Item.key()"]
+    assert built["a.Base"].implements == ["a.Half", "b.Shop"] and built["b.Shop"].file_path == "f4" and built["b.Shop"].content == SHOP[3][1]
+    assert {m.name: m.inheritance_info for m in built["a.Base"].methods} == {"total(Item i)": ["b.Shop.total(Item i)"], "end()": ["a.Half.end()"]}
+    assert [c.name for c in built["a.Half"].methods[0].method_calls] == ["a.Half.stop()"]
+    s = importing.import_simple(empty_store(spark), chunks.build(java_facts.extract(sources), 1, "main", sources))
+    got = state(s)
+    assert ("b.Shop", "b.Shop.total(Item i)", "IMPLEMENT", "a.Base", "a.Base.total(Item i)") in got and ("b.Shop", None, "IMPLEMENT", "a.Base", None) in got
+    body = {r.method_name: r.content for r in s.nodes.collect()}["b.Shop.total(Item i)"]
+    assert body.startswith("long x") and body.endswith('["a.Item.id","c.Other.LIMIT"]')
+    empty = java_facts.extract(sources.where("false"))
+    assert chunks.build(empty, 1, "main").count() == 0 and symbols.supertypes(symbols.implementations(empty, symbols.symbols(empty))).count() == 0
+
+
 def test_java_facts_of_broken_sources():
     def got(text):
         return {c["full_class_name"]: [m["signature"] for m in c["methods"]] for c in java_facts.facts(text)}
