@@ -65,6 +65,11 @@ def merge_paths(outer: Column, inner: Column) -> Column:
     return F.when(outer == "", inner).when(inner == "", outer).otherwise(both)
 
 
+def text_hash(text: Column) -> Column:
+    """The SHA-256 of a text, as chunks carry it; null stays null."""
+    return F.sha2(text, 256)
+
+
 def hashed_id(*parts: Column) -> Column:
     """A non-negative 64-bit id out of columns, the same at every run."""
     return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 63) - 1))

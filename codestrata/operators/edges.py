@@ -110,9 +110,14 @@ def resolve_all(asked: DataFrame, nodes: DataFrame, policy: str = "same") -> Dat
     return out.distinct()
 
 
+def without_duplicates(rels: DataFrame) -> DataFrame:
+    """Edges, one of each type between two ends."""
+    return rels.dropDuplicates(["src", "dst", "type"])
+
+
 def merge(rels: DataFrame, new: DataFrame) -> DataFrame:
     """Edges with new ones put in where there is none of that type between the ends yet."""
-    return rels.unionByName(new).dropDuplicates(["src", "dst", "type"])
+    return without_duplicates(rels.unionByName(new))
 
 
 def duplicate_groups(rels: DataFrame) -> DataFrame:

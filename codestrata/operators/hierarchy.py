@@ -92,6 +92,13 @@ def descendants(solved: DataFrame) -> DataFrame:
     return solved.where("root <> -1").select("h", F.col("v").alias("descendant"), F.posexplode("path").alias("pos", "ancestor")).select("h", "ancestor", "descendant", (F.col("pos") + 1).cast("long").alias("distance"))
 
 
+def spare_links(links: DataFrame) -> DataFrame:
+    """Distinct links (h, child, parent) that `solve` leaves out, since the child has a smaller parent."""
+    links = links.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).select("h", "child", "parent").distinct()
+    first = links.groupBy("h", "child").agg(F.min("parent").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return links.join(first, ["h", "child"]).where("parent <> first").select("h", "child", "parent")
+
+
 def clean_parent(name: Column) -> Column:
     """The name of an enclosing class out of its spellings: blanks, `$` between classes, a one-element tuple; null if absent."""
     bare = F.regexp_replace(name, r"[\s ]+", "")

@@ -115,7 +115,7 @@ def import_incremental(store: Store, chunks: DataFrame, o: Options = Options(),
     back = cut(branches.restore_boundary(with_nodes.nodes, saved))
     restored = Store(with_nodes.nodes, with_nodes.rels.unionByName(back), with_nodes.counts.unionByName(counted(saved=saved, restored=back)))
     done = import_edges(restored, chunks, o)
-    return Store(done.nodes, done.rels.dropDuplicates(["src", "dst", "type"]), done.counts)
+    return Store(done.nodes, edges.without_duplicates(done.rels), done.counts)
 
 
 def copy_branch(store: Store, chunks: DataFrame, main: str, to: str) -> Store:

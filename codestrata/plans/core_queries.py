@@ -33,12 +33,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Path from the root down to each child, as ids joined by '/', with the cycle's smallest id where there is one."""
+    """Path from the root down to each child, as ids joined by '/', with the smallest id of the cycle entered, -1 without one."""
     links = _links(spark, folder)
     solved = hierarchy.solve(links, with_path=True)
     named = hierarchy.cycles(links, solved)
     path = F.array_join(F.concat(F.reverse("path"), F.array("v")).cast("array<string>"), "/")
-    return solved.join(named, ["h", "v"], "left").select(F.col("h").alias("hierarchy"), F.col("v").alias("child_id"), F.col("root").alias("root_id"), "depth", path.alias("path"), F.col("cycle").alias("cycle_id"), F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
+    return solved.join(named, ["h", "v"], "left").select(F.col("h").alias("hierarchy"), F.col("v").alias("child_id"), F.col("root").alias("root_id"), "depth", path.alias("path"), F.coalesce("cycle", F.lit(-1)).alias("cycle_id"), F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
 
 
 def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,11 +46,17 @@ def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("h").alias("hierarchy"), F.col("ancestor").alias("ancestor_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 
+def p5_spare_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Links to further parents of a child, which paths and descendants don't follow."""
+    spare = hierarchy.spare_links(_links(spark, folder))
+    return spare.select(F.col("h").alias("hierarchy"), F.col("child").alias("child_id"), F.col("parent").alias("parent_id"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return snapshots.changes(table(spark, folder, "node_snapshots"), table(spark, folder, "snapshot_log"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p5_found, p5_paths, p5_descendants, p6_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p5_found, p5_paths, p5_descendants, p5_spare_links, p6_found)}
 
 _LIVE = """
 WITH dead AS (SELECT node_id, min(deleted_at) AS died FROM tombstones GROUP BY node_id),
@@ -105,6 +111,13 @@ ORACLE = {
     "p3_counts": _LIVE + "SELECT table_name, field_name, coalesce(strftime(recorded_at, '%Y-%m'), '') AS month, count(*) AS orphans FROM orphan GROUP BY ALL",
     "p5_found": _FOREST + """SELECT l.h AS hierarchy, l.child AS child_id, coalesce(e.root, -1) AS root_id, CAST(coalesce(e.depth, -1) AS BIGINT) AS depth
 FROM links l LEFT JOIN ended e ON e.h = l.h AND e.child = l.child""",
+    "p5_paths": _FOREST + """, ring AS (SELECT DISTINCT u.h, u.child FROM up u WHERE u.child = u.at),
+entered AS (SELECT u.h, u.child, min(r.child) AS cycle FROM (SELECT v.h, v.child, v.at FROM up v UNION SELECT h, child, child FROM links) u JOIN ring r ON r.h = u.h AND r.child = u.at GROUP BY ALL),
+down AS (SELECT u.h, u.child, string_agg(u.at, '/' ORDER BY u.depth DESC) AS path FROM up u JOIN ended e ON e.h = u.h AND e.child = u.child GROUP BY ALL)
+SELECT l.h AS hierarchy, l.child AS child_id, coalesce(e.root, -1) AS root_id, CAST(coalesce(e.depth, -1) AS BIGINT) AS depth, d.path || '/' || l.child AS path, coalesce(c.cycle, -1) AS cycle_id, r.child IS NOT NULL AS on_cycle
+FROM links l LEFT JOIN ended e ON e.h = l.h AND e.child = l.child LEFT JOIN down d ON d.h = l.h AND d.child = l.child LEFT JOIN entered c ON c.h = l.h AND c.child = l.child LEFT JOIN ring r ON r.h = l.h AND r.child = l.child""",
+    "p5_spare_links": """SELECT 'inheritance' AS hierarchy, start_node AS child_id, end_node AS parent_id FROM (SELECT DISTINCT start_node, end_node FROM relationships
+WHERE upper(trim(type)) IN ('EXTEND', 'EXTENDS') AND start_node IS NOT NULL AND end_node IN (SELECT id FROM nodes UNION ALL SELECT node_id FROM framework_nodes)) QUALIFY row_number() OVER (PARTITION BY start_node ORDER BY end_node) > 1""",
     "p5_descendants": _FOREST + """SELECT u.h AS hierarchy, u.at AS ancestor_id, u.child AS descendant_id, CAST(u.depth AS BIGINT) AS distance
 FROM up u JOIN ended e ON e.h = u.h AND e.child = u.child""",
     "p6_found": """

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import comments, endpoints, filters, names
 from codestrata.operators import branches, chunks, edges, importing, lookup, nodes, symbols, traverse
-from codestrata.plans import fixtures
 from codestrata.schema import NODE, REL
 from codestrata.session import cut
 from codestrata.sources import java_facts
@@ -154,11 +153,6 @@ def _escape_sql(x: str) -> str:
     return f"replace(replace(replace(replace(replace(coalesce({x}, ''), '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(9), '\\t'), chr(13), '\\r')"
 
 
-@query(f"SELECT dep_id, class_name, method_name, {_escape_sql('method_name')} || ' ' || coalesce(array_to_string(field_access, ','), '') AS content FROM method_deps")
-def method_node_projection(spark, d):
-    return table(spark, d, "method_deps").select("dep_id", "class_name", "method_name", F.concat(names.escape_text(F.col("method_name")), F.lit(" "), F.coalesce(F.array_join("field_access", ","), F.lit(""))).alias("content"))
-
-
 @query(f"SELECT doc_id, {_escape_sql('text')} AS escaped FROM documents")
 def cypher_escape_text(spark, d):
     return table(spark, d, "documents").select("doc_id", names.escape_text(F.col("text")).alias("escaped"))
@@ -211,15 +205,6 @@ def config_marker_predicate(spark, d):
     return table(spark, d, "source_files").select("file_id", filters.has_marker(F.col("content"), filters.CONFIG_MARKERS).alias("marked"), filters.has_marker(F.col("content"), filters.LOMBOK_MARKERS).alias("lombok"))
 
 
-@query("""WITH known AS (SELECT DISTINCT split_part(split_part(m, '(', 1), '.', -1) AS simple FROM (SELECT unnest(methods) AS m FROM class_contexts)),
-c AS (SELECT DISTINCT dep_id, t AS call FROM (SELECT dep_id, unnest(method_calls) AS t FROM method_deps))
-SELECT dep_id, call FROM c WHERE split_part(split_part(call, '(', 1), '.', -1) IN (SELECT simple FROM known WHERE simple IS NOT NULL)""")
-def known_name_semi_join(spark, d):
-    known = table(spark, d, "class_contexts").select(F.explode("methods").alias("m")).select(names.simple_method_name(F.col("m")).alias("simple")).distinct()
-    calls = table(spark, d, "method_deps").select("dep_id", F.explode("method_calls").alias("call")).distinct().withColumn("simple", names.simple_method_name(F.col("call")))
-    return calls.join(known, "simple", "left_semi").select("dep_id", "call")
-
-
 # ---- what is new ------------------------------------------------------------------------------------------------------
 
 def _requested(spark: SparkSession, d: str) -> DataFrame:
@@ -245,20 +230,14 @@ def delta_create_main_only(spark, d):
     return nodes.against_main(_requested(spark, d), _nodes(spark, d)).select("node_id", "class_name", "method_name", "ast_hash")
 
 
-@query("SELECT project_id, branch, count(*) AS rows FROM (SELECT project_id, branch FROM nodes UNION ALL SELECT project_id, branch FROM tombstones) GROUP BY ALL")
-def create_unconditional(spark, d):
-    both = _nodes(spark, d).select("project_id", "branch").unionByName(nodes.tombstone_nodes(table(spark, d, "tombstones")).select("project_id", "branch"))
-    return both.groupBy("project_id", "branch").agg(F.count(F.lit(1)).alias("rows"))
-
-
 _GONE = "gone AS (SELECT n.node_id FROM nodes_ n WHERE n.pull_request_id IS NULL AND EXISTS (SELECT 1 FROM method_deps k WHERE k.project_id = n.project_id AND k.branch = n.branch AND k.class_name = n.class_name AND k.method_name IS NOT DISTINCT FROM n.method_name))"
 
 
-@query(f"WITH {_N}, {_R}, {_GONE} SELECT 'node' AS what, count(*) AS rows FROM nodes_ WHERE node_id NOT IN (SELECT node_id FROM gone) UNION ALL SELECT 'edge', count(*) FROM rels WHERE src NOT IN (SELECT node_id FROM gone) AND dst NOT IN (SELECT node_id FROM gone)")
+@query(f"WITH {_N}, {_R}, {_GONE} SELECT 'node' AS what, node_id AS a, -1 AS b, label AS type FROM nodes_ WHERE node_id NOT IN (SELECT node_id FROM gone) UNION ALL SELECT 'edge', src, dst, type FROM rels WHERE src NOT IN (SELECT node_id FROM gone) AND dst NOT IN (SELECT node_id FROM gone)")
 def replace_delete(spark, d):
     left_nodes, left_rels = nodes.without_replaced(_nodes(spark, d), _rels(spark, d), table(spark, d, "method_deps"))
-    count = lambda df, what: df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(what).alias("what"), "rows")
-    return count(left_nodes, "node").unionByName(count(left_rels, "edge"))
+    kept = left_nodes.select(F.lit("node").alias("what"), F.col("node_id").alias("a"), F.lit(-1).cast("long").alias("b"), F.col("label").alias("type"))
+    return kept.unionByName(left_rels.select(F.lit("edge").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b"), "type"))
 
 
 # ---- branches ---------------------------------------------------------------------------------------------------------
@@ -351,7 +330,7 @@ def duplicate_nodes(spark, d):
 
 @query(f"WITH {_R} SELECT DISTINCT src, dst, type FROM rels")
 def duplicate_edges(spark, d):
-    return _rels(spark, d).dropDuplicates(["src", "dst", "type"])
+    return edges.without_duplicates(_rels(spark, d))
 
 
 @query(f"WITH {_R} SELECT src, dst, type, count(*) AS copies FROM rels GROUP BY ALL HAVING count(*) > 1")
@@ -465,10 +444,15 @@ def fqn_and_simple_name(spark, d):
     return _nodes(spark, d).select("node_id", names.simple_name(F.col("class_name")).alias("simple"), names.simple_method_name(F.col("method_name")).alias("method"))
 
 
-@query("SELECT ctx_id, k AS name, import_mapping[k] AS found FROM (SELECT ctx_id, import_mapping, unnest(map_keys(import_mapping)) AS k FROM class_contexts)")
+@query("""WITH known AS (SELECT full_class_name, max_by({'p': package, 'c': class_name}, ctx_id) AS s FROM class_contexts GROUP BY full_class_name),
+near AS (SELECT s.p AS package, s.c AS name, min(full_class_name) AS near FROM known GROUP BY ALL), lone AS (SELECT s.c AS name, min(full_class_name) AS lone FROM known GROUP BY s.c HAVING count(*) = 1),
+refs AS (SELECT ctx_id, package, import_mapping, unnest(list_distinct(list_concat(coalesce(map_keys(import_mapping), []), [class_name]))) AS name FROM class_contexts)
+SELECT r.ctx_id, r.name, coalesce(r.import_mapping[r.name], n.near, o.lone) AS found FROM refs r LEFT JOIN near n ON n.package = r.package AND n.name = r.name LEFT JOIN lone o ON o.name = r.name""")
 def import_lookup(spark, d):
-    c = table(spark, d, "class_contexts").select("ctx_id", "import_mapping", F.explode(F.map_keys("import_mapping")).alias("name"))
-    return c.select("ctx_id", "name", F.try_element_at("import_mapping", "name").alias("found"))
+    c = table(spark, d, "class_contexts").withColumnRenamed("ctx_id", "file_id").withColumn("kind", F.lit("class")).withColumn("is_abstract", F.lit(False))
+    own = F.array_distinct(F.concat(F.coalesce(F.map_keys("import_mapping"), F.array().cast("array<string>")), F.array("class_name")))
+    refs = c.select("file_id", "package", F.col("import_mapping").alias("imports"), F.explode(own).alias("name"))
+    return symbols.resolve_types(refs, symbols.symbols(c)).select(F.col("file_id").alias("ctx_id"), "name", F.col("resolved").alias("found"))
 
 
 @query(r"""WITH p AS (SELECT id, split_part(replace(file_path, '\', '/'), '/', 1) || '/' AS a, substr(replace(file_path, '\', '/'), length(split_part(replace(file_path, '\', '/'), '/', 1)) + 1) AS b FROM nodes WHERE file_path IS NOT NULL)
@@ -481,26 +465,53 @@ def merge_paths(spark, d):
 
 @query("SELECT doc_id, sha256(text) AS hash FROM documents")
 def content_hash(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
-
-
-def _endpoint_query(name: str, build, rows: list[tuple]) -> None:
+    return table(spark, d, "documents").select("doc_id", names.text_hash(F.col("text")).alias("hash"))
+
+
+#: Annotations as sources have them, with `~` for a class's name: kind, text, class's annotations, method's annotations, return type, parameters, and the endpoints (type, path, consumes) they stand for.
+ANNOTATIONS = [
+    ("get", '@GetMapping("/~/{id}")', '@RestController @RequestMapping("/api/")', "", "~", "(int id)", [("GET", "/api/~/{id}", "")]),
+    ("request", '@RequestMapping(value = "/r/~", method = RequestMethod.PUT)', "@RestController", "", "Mono<~>", "()", [("PUT_REACTIVE", "/r/~", "")]),
+    ("any", '@RequestMapping("~")', "@RestController", "", "void", "()", [("REQUEST", "~", "")]),
+    ("hidden", '@PostMapping("/~")', "@Controller", "", "String", "()", []),
+    ("body", '@PostMapping("/~")', "@Controller", "@ResponseBody", "String", "()", [("POST", "/~", "")]),
+    ("handler", "@ExceptionHandler({~Error.class, Other.class})", "@RestControllerAdvice", "", "void", "()", [("REST_EXCEPTION_HANDLER", "[~Error, Other]", "")]),
+    ("handler1", "@ExceptionHandler(~Error.class)", "@ControllerAdvice", "", "void", "()", [("EXCEPTION_HANDLER", "~Error", "")]),
+    ("jaxrs", "@GET", '@Path("/~/")', '@GET @Path("/{id}")', "~", "()", [("GET", "/~/{id}", "")]),
+    ("kafka", '@KafkaListener(id = "x", topics = {"~.a", "~.b"})', "", "", "void", "()", [("KAFKA_CONSUMER", "", "~.a"), ("KAFKA_CONSUMER", "", "~.b")]),
+    ("kafka1", '@KafkaListener("~")', "", "", "void", "()", [("KAFKA_CONSUMER", "", "~")]),
+    ("kafkap", '@KafkaListener(topicPattern = "~.*")', "", "", "void", "()", [("KAFKA_CONSUMER", "", "PATTERN:~.*")]),
+    ("rabbit", '@RabbitListener(queues = {"~","q2"})', "", "", "void", "()", [("RABBIT_CONSUMER", "", "~"), ("RABBIT_CONSUMER", "", "q2")]),
+    ("rabbit1", "@RabbitListener(queues = '~')", "", "", "void", "()", [("RABBIT_CONSUMER", "", "~")]),
+    ("event", "@EventListener(classes = {~.class, B.class})", "", "", "void", "()", [("SPRING_EVENT_CONSUMER", "", "~"), ("SPRING_EVENT_CONSUMER", "", "B")]),
+    ("event1", "@EventListener", "", "", "void", "(x.y.~ event)", [("SPRING_EVENT_CONSUMER", "", "~")]),
+    ("none", "@Override", "", "", "void", "()", []),
+]
+
+
+def _endpoint_query(name: str, build) -> None:
+    """Every class of the table with every annotation: what the extractor `name` finds."""
     def run(spark: SparkSession, d: str) -> DataFrame:
-        a = fixtures.annotations(spark)
-        found = build(*(F.col(c) for c in ("text", "class_text", "method_text", "return_type", "params")))
-        return a.select("key", F.explode(found).alias("e")).select("key", F.col("e.type").alias("type"), F.col("e.path").alias("path"), F.col("e.consumes").alias("consumes"))
+        part = lambda text: F.replace(F.lit(text), F.lit("~"), F.col("n"))
+        each = F.array(*[F.struct(F.lit(a[0]).alias("kind"), *[part(x).alias(f"x{k}") for k, x in enumerate(a[1:6])]) for a in ANNOTATIONS])
+        rows = table(spark, d, "class_contexts").select("ctx_id", F.regexp_replace(F.coalesce("class_name", F.lit("X")), "[^A-Za-z0-9]", "").alias("n")).select("ctx_id", F.explode(each).alias("a"))
+        found = build(*[F.col(f"a.x{k}") for k in range(5)])
+        return rows.select("ctx_id", F.col("a.kind").alias("kind"), F.explode(found).alias("e")).select("ctx_id", "kind", F.col("e.type").alias("type"), F.col("e.path").alias("path"), F.col("e.consumes").alias("consumes"))
 
     run.__name__ = name
-    values = ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in rows)
-    query(f"SELECT * FROM (VALUES {values}) v(key, type, path, consumes)")(run)
+    of = {"spring_endpoints": ("get", "request", "any", "hidden", "body"), "exception_handlers": ("handler", "handler1"), "jaxrs_endpoints": ("jaxrs",), "kafka_topics": ("kafka", "kafka1", "kafkap"), "rabbit_queues": ("rabbit", "rabbit1"), "event_listeners": ("event", "event1")}
+    values = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in (a[0], *e)) + ")" for a in ANNOTATIONS if a[0] in of.get(name, [x[0] for x in ANNOTATIONS]) for e in a[6])
+    query(f"""WITH c AS (SELECT ctx_id, regexp_replace(coalesce(class_name, 'X'), '[^A-Za-z0-9]', '', 'g') AS n FROM class_contexts)
+SELECT ctx_id, kind, replace(type, '~', n) AS type, replace(path, '~', n) AS path, replace(consumes, '~', n) AS consumes FROM c, (VALUES {values}) v(kind, type, path, consumes)""")(run)
 
 
-_endpoint_query("spring_endpoints", lambda t, c, m, r, p: endpoints.spring_mapping(t, c, m, r), [("get", "GET", "/api/a/{id}", ""), ("request", "PUT_REACTIVE", "/r", ""), ("body", "POST", "/x", "")])
-_endpoint_query("exception_handlers", lambda t, c, m, r, p: endpoints.spring_exception_handler(t, c), [("handler", "REST_EXCEPTION_HANDLER", "[AError, BError]", ""), ("handler1", "EXCEPTION_HANDLER", "AError", "")])
-_endpoint_query("jaxrs_endpoints", lambda t, c, m, r, p: endpoints.jaxrs(t, c, m), [("jax", "GET", "/users/{id}", "")])
-_endpoint_query("kafka_topics", lambda t, c, m, r, p: endpoints.kafka(t), [("kafka", "KAFKA_CONSUMER", "", "t1"), ("kafka", "KAFKA_CONSUMER", "", "t2"), ("kafka1", "KAFKA_CONSUMER", "", "t3"), ("kafkap", "KAFKA_CONSUMER", "", "PATTERN:t.*"), ("kafka0", "KAFKA_CONSUMER", "", "t4")])
-_endpoint_query("rabbit_queues", lambda t, c, m, r, p: endpoints.rabbit(t), [("rabbit", "RABBIT_CONSUMER", "", "q1"), ("rabbit", "RABBIT_CONSUMER", "", "q2"), ("rabbit1", "RABBIT_CONSUMER", "", "q3")])
-_endpoint_query("event_listeners", lambda t, c, m, r, p: endpoints.spring_event(t, p), [("event", "SPRING_EVENT_CONSUMER", "", "A"), ("event", "SPRING_EVENT_CONSUMER", "", "B"), ("event1", "SPRING_EVENT_CONSUMER", "", "Made")])
+_endpoint_query("spring_endpoints", lambda t, c, m, r, p: endpoints.spring_mapping(t, c, m, r))
+_endpoint_query("exception_handlers", lambda t, c, m, r, p: endpoints.spring_exception_handler(t, c))
+_endpoint_query("jaxrs_endpoints", lambda t, c, m, r, p: endpoints.jaxrs(t, c, m))
+_endpoint_query("kafka_topics", lambda t, c, m, r, p: endpoints.kafka(t))
+_endpoint_query("rabbit_queues", lambda t, c, m, r, p: endpoints.rabbit(t))
+_endpoint_query("event_listeners", lambda t, c, m, r, p: endpoints.spring_event(t, p))
+_endpoint_query("all_endpoints", endpoints.endpoints)
 
 
 # ---- imports and extraction -----------------------------------------------------------------------------------------------
@@ -510,30 +521,6 @@ def _end_state(store: importing.Store) -> DataFrame:
     return store.rels.join(side("src"), "src").join(side("dst"), "dst").select("src_class", "src_method", "type", "dst_class", "dst_method", "dst_hash")
 
 
-def _twice(spark: SparkSession, run) -> DataFrame:
-    empty = importing.Store(spark.createDataFrame([], NODE), spark.createDataFrame([], REL))
-    o = importing.Options(main_branch="main", base_branch="develop")
-    first = importing.import_simple(empty, fixtures.chunks(spark, fixtures.FIRST), o)
-    return _end_state(run(first, fixtures.chunks(spark, fixtures.SECOND), o))
-
-
-@query("SELECT * FROM (VALUES ('p.ClassA', 'methodA', 'CALL', 'p.ClassB', 'methodB', 'mb2'), ('p.ClassB', 'methodB', 'USE', 'p.ClassC', '', 'c1')) v(src_class, src_method, type, dst_class, dst_method, dst_hash)")
-def incremental_import(spark, d):
-    return _twice(spark, importing.import_incremental)
-
-
-@query("SELECT * FROM (VALUES ('p.ClassB', 'methodB', 'USE', 'p.ClassC', '', 'c1')) v(src_class, src_method, type, dst_class, dst_method, dst_hash)")
-def simple_import(spark, d):
-    return _twice(spark, importing.import_simple)
-
-
-@query("""SELECT * FROM (VALUES ('IMPLEMENT', 'p.ValidationHandler', '', 'p.UserService', ''), ('USE', 'p.UserService', '', 'p.Validation', ''), ('USE', 'p.UserService', '', 'p.NotNull', ''),
-('USE', 'p.Validation', '', 'p.ValidationHandler', ''), ('USE', 'p.UserService', 'createUser', 'p.Validation', ''), ('USE', 'p.Validation', '', 'p.ValidationHandler', 'isValid')) v(kind, source_class, source_method, target_class, target_method)""")
-def edge_request_union(spark, d):
-    asked = edges.requests(fixtures.chunks(spark, fixtures.ANNOTATED))
-    return asked.select("kind", *[F.coalesce(c, F.lit("")).alias(c) for c in ("source_class", "source_method", "target_class", "target_method")])
-
-
 def _sources(spark: SparkSession, d: str) -> DataFrame:
     """The latest delivery of every Java file; of equally late ones that of the smallest hash."""
     files = table(spark, d, "source_files").where(F.lower("file_path").endswith(".java") & F.col("file_id").isNotNull())

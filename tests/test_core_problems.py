@@ -101,6 +101,12 @@ def test_forest_of_nothing(spark):
     assert hierarchy.cycles(empty, hierarchy.solve(empty)).count() == 0
 
 
+def test_spare_links(spark):
+    links = spark.createDataFrame([("x", 1, 5), ("x", 1, 3), ("x", 1, 3), ("x", 2, 9), ("y", 1, 7), ("x", 1, None), ("x", None, 1)], "h string, child long, parent long")
+    assert [tuple(r) for r in hierarchy.spare_links(links).collect()] == [("x", 1, 5)]
+    assert {(r.h, r.v, r.root) for r in hierarchy.solve(links).collect()} == {("x", 1, 3), ("x", 2, 9), ("y", 1, 7)}
+
+
 def test_parent_spellings(spark):
     names = ["a.B", " a.B ", "('a.B',)", "a$B", "", "(None,)", "None", None, "a.Gone"]
     rows = [(1, "1", "main", "a.B", None, T(1))] + [(k, "1", "main", f"a.B.C{k}", n, T(1)) for k, n in enumerate(names, 2)] + [(2, "1", "main", "a.B.C2", "a.Old", T(0 + 1)), (50, "1", "dev", "a.Z", "a.B", T(1)), (2, "1", "main", "a.B.C2", "a.B", T(9))]

@@ -9,7 +9,10 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-CHEAP = ["p3_found", "p5_found", "p6_found", "node_spec_lookup", "delta_create_main_base", "call_edges_fallback", "implement_class_fallback", "copy_cross_edges", "builtin_name_filter", "duplicate_edge_groups", "normalize_whitespace"]
+CHEAP = [
+    "p3_found", "p5_found", "p5_paths", "p5_spare_links", "p6_found", "node_spec_lookup", "delta_create_main_base", "call_edges_fallback", "implement_class_fallback", "copy_cross_edges", "builtin_name_filter", "duplicate_edge_groups", "normalize_whitespace",
+    "replace_delete", "import_lookup", "all_endpoints", "import_tables", "simple_import", "import_counts", "copy_branch", "chunk_round_trip", "create_unconditional", "method_node_projection", "edge_request_union", "traversal_visited_nodes", "traversal_path_summary", "lombok_lines",
+]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
 
 

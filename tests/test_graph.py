@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import comments, endpoints, filters, names
 from codestrata.operators import branches, edges, importing, lookup, nodes, traverse
-from codestrata.plans import fixtures
+from tests import fixtures
 from codestrata.schema import NODE, REL
 from codestrata.sources import files, java_facts, store
 
