@@ -102,7 +102,8 @@ def fill(sizes: DataFrame, containers: DataFrame, documents: int, shard_document
     n = documents
     shards = max(1, -(-n // shard_documents))
     kinds = containers.where(F.col("capacity") > 0).select("container", F.col("capacity").cast("long")).distinct()
-    items = sizes.select("doc_id", "tokens").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).join(F.broadcast(kinds))
+    parts = max(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards)  # packing is work, however small its rows are: shards aren't put together
+    items = sizes.select("doc_id", "tokens").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).join(F.broadcast(kinds)).repartition(parts, "container", "capacity", "shard")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         capacity, name, shard = int(group["capacity"].iat[0]), group["container"].iat[0], int(group["shard"].iat[0])

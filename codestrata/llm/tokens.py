@@ -9,10 +9,12 @@ Repeated rows are encoded like others, other columns pass unused, an empty table
 
 from __future__ import annotations
 
+import atexit
 import functools
 import hashlib
 import itertools
 import os
+import pathlib
 import re
 import tempfile
 from collections.abc import Iterator
@@ -65,6 +67,7 @@ def publish_lexicon(spark: SparkSession, documents: DataFrame, tokenizer: str, f
     with tempfile.NamedTemporaryFile(dir=os.path.dirname(path), delete=False) as file:
         file.write(data)
     os.replace(file.name, path)
+    atexit.register(functools.partial(pathlib.Path.unlink, pathlib.Path(path), missing_ok=True))
     spark.sparkContext.addFile(path)
     return name
 
