@@ -108,3 +108,26 @@ def index_of(text: Column, line: Column, column: Column) -> Column:
     lines = F.split(text, "\n")
     before = F.aggregate(F.slice(lines, F.lit(1), line), F.lit(0), lambda n, x: n + F.length(x) + 1)
     return F.when(line < F.size(lines), before + column)
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """A path below `root` without it, with '/'; null for paths elsewhere."""
+    flat, base = F.replace(path, F.lit("\\"), F.lit("/")), root.replace("\\", "/").rstrip("/") + "/"
+    return F.when(F.startswith(flat, F.lit(base)), F.substring(flat, len(base) + 1, 1 << 30))
+
+
+def as_list(value: Column) -> Column:
+    """An array without nulls: of a null nothing, of a single value itself."""
+    return F.filter(F.array(value), lambda x: x.isNotNull())
+
+
+def hover_text(answer: Column) -> Column:
+    """The text of a hover answer in JSON: of its contents' value, of the first of a list, or the plain text; null without one."""
+    paths = ("$.contents.value", "$.contents[0].value", "$.contents[0]", "$.contents")
+    return F.coalesce(*[F.get_json_object(answer, p) for p in paths])
+
+
+def after_insert(line: Column, column: Column, text: Column) -> Column:
+    """Line and column, from 0, behind a text that is put in at a place."""
+    breaks, last = F.size(F.split(text, "\n")) - 1, F.length(F.substring_index(text, "\n", -1))
+    return F.struct((line + breaks).alias("line"), F.when(breaks > 0, last).otherwise(column + last).alias("column"))

@@ -104,7 +104,19 @@ def references(classes: DataFrame) -> DataFrame:
     return known_calls(classes).select("callee", "caller_class", "caller")
 
 
+def class_counts(classes: DataFrame) -> DataFrame:
+    """(file_id, class_count) of files that declare classes."""
+    return classes.groupBy("file_id").agg(F.count(F.lit(1)).cast("int").alias("class_count"))
+
+
 def method_at(places: DataFrame, classes: DataFrame) -> DataFrame:
     """places (file_id, line, column) with the method whose name stands there: equal file and line, column within the name."""
     m = classes.select("file_id", "full_class_name", F.explode("methods").alias("m")).select("file_id", "full_class_name", F.col("m.signature").alias("signature"), F.col("m.line").alias("line"), F.col("m.column_start").alias("a"), F.col("m.column_end").alias("b"))
     return places.join(m, ["file_id", "line"]).where((F.col("column") >= F.col("a")) & (F.col("column") <= F.col("b"))).drop("a", "b")
+
+
+def hover(places: DataFrame, classes: DataFrame) -> DataFrame:
+    """places (file_id, line, column) with what is declared there: its return type, class and signature as one text."""
+    m = classes.select("file_id", "full_class_name", F.explode("methods").alias("m")).select("file_id", "full_class_name", F.col("m.signature").alias("signature"), F.col("m.return_type").alias("return_type"))
+    text = F.concat("return_type", F.lit(" "), "full_class_name", F.lit("."), "signature")
+    return method_at(places, classes).join(m, ["file_id", "full_class_name", "signature"]).withColumn("text", text).drop("return_type")

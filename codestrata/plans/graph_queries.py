@@ -11,7 +11,7 @@ from codestrata.functions import comments, endpoints, filters, names
 from codestrata.operators import branches, chunks, edges, importing, lookup, nodes, symbols, traverse
 from codestrata.schema import NODE, REL
 from codestrata.session import cut
-from codestrata.sources import java_facts
+from codestrata.sources import files, java_facts
 from codestrata.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -615,3 +615,14 @@ def source_without_comments(spark, d):
 def lombok_lines(spark, d):
     lines = filters.marked_lines(F.col("content"), filters.LOMBOK_MARKERS)
     return table(spark, d, "source_files").where("content is not null").select("file_id", F.concat(F.lit("["), F.array_join(lines, ", "), F.lit("]")).alias("lines"))
+
+
+@query()
+def class_counts(spark, d):
+    return symbols.class_counts(_classes(spark, d))
+
+
+@query(r"""SELECT file_path, split_part(replace(file_path, '\', '/'), '/', -1) AS class_name, sha256(content) AS ast_hash, 'configuration' AS type, '7' AS project_id FROM source_files
+WHERE lower(split_part(replace(file_path, '\', '/'), '.', -1)) IN ('sql', 'yml', 'yaml', 'xml')""")
+def configuration_chunks(spark, d):
+    return files.configuration_chunks(table(spark, d, "source_files"), 7, "main").select("file_path", "class_name", "ast_hash", "type", "project_id")

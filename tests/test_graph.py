@@ -76,6 +76,7 @@ def test_closure_depth_paths_and_cycles(spark):
     seeds = n.where("node_id = 1").select("node_id")
     down = traverse.closure(seeds, r, with_path=True)
     assert {(x.node, x.depth) for x in down.collect()} == {(2, 1), (3, 2), (6, 2), (5, 3)}
+    assert [x.node for x in traverse.ordered(down).collect()] == [2, 3, 6, 5]
     assert {(x.node, x.depth) for x in traverse.closure(seeds, r, max_level=1).collect()} == {(2, 1)}
     assert {x.node for x in traverse.closure(seeds, r, min_level=0, max_level=0).collect()} == {1}
     assert {(x.node, x.depth) for x in traverse.closure(seeds, r, traverse.UPSTREAM).collect()} == {(3, 1), (2, 2)}
@@ -143,6 +144,15 @@ ARGUMENTS = [
 ]
 
 
+def test_places_and_paths(spark):
+    row = spark.range(1).select(
+        names.relative_path(F.lit("a\\\\b\\\\C.java".replace("\\\\", "\\")), "a/b"), names.relative_path(F.lit("x/C.java"), "a"), names.as_list(F.lit(None).cast("string")), names.as_list(F.lit("x")),
+        names.hover_text(F.lit('{"contents": {"value": "v"}}')), names.hover_text(F.lit('{"contents": [{"value": "w"}]}')), names.hover_text(F.lit('{"contents": "u"}')), names.hover_text(F.lit("{}")),
+        names.after_insert(F.lit(3), F.lit(4), F.lit("ab")), names.after_insert(F.lit(3), F.lit(4), F.lit("a\nbc")),
+    ).head()
+    assert list(row)[:8] == ["C.java", None, [], ["x"], "v", "w", "u", None] and tuple(row[8]) == (3, 6) and tuple(row[9]) == (4, 2)
+
+
 def test_arguments_of_listeners(spark):
     df = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(ARGUMENTS)], "k int, t string")
     got = {r.k: [e.consumes for e in r.e] for r in df.select("k", endpoints.kafka(F.col("t")).alias("e")).collect()}
@@ -318,6 +328,8 @@ def test_symbols_and_positions(spark):
     line = sources[1][1].split("\n")[1]
     places = spark.createDataFrame([(2, 1, line.index("wrap") + 1), (2, 1, 0)], "file_id long, line int, column int")
     assert [r.signature for r in symbols.method_at(places, classes).collect()] == ["wrap()"]
+    assert [r.text for r in symbols.hover(places, classes).collect()] == ["Object v.Check.wrap()"]
+    assert {r.file_id: r.class_count for r in symbols.class_counts(classes).collect()} == {1: 4, 2: 1}
     built = {r.full_class_name: r for r in chunks.build(classes, 1, "main").collect()}
     assert built["v.Check"].handles_annotation == "p.q.Mark" and built["v.Check"].methods[0].handles_annotation == "p.q.Mark"
     row = spark.range(1).select(names.path_of_uri(F.lit("file:///a%20b/C+.java")), names.position_of(F.lit("ab\ncd"), F.lit(4)), names.index_of(F.lit("ab\ncd"), F.lit(1), F.lit(1))).head()
