@@ -89,4 +89,13 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_rates, p2_found, p2_groups, p4_found, p4_kinds, p4_handwritten, p7_ids, p8_bins, p8_usage, p9_found, p9_scores, p9_rates)}
-ORACLE: dict[str, str] = {}
+_PAIRS = """WITH RECURSIVE w AS (SELECT id, regexp_extract_all(lower(content), '[a-z0-9_]+') AS ws FROM nodes WHERE content IS NOT NULL),
+g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS run FROM w WHERE len(ws) >= 20),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id), shared AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.run = b.run AND a.id < b.id GROUP BY ALL),
+pairs AS (SELECT id_a, id_b FROM shared JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 10 * c >= 6 * (x.n + y.n - c))"""
+
+ORACLE: dict[str, str] = {
+    "p2_found": _PAIRS + " SELECT * FROM pairs",
+    "p2_groups": _PAIRS + """, ways AS (SELECT id_a AS a, id_b AS b FROM pairs UNION SELECT id_b, id_a FROM pairs), reach AS (SELECT a AS id, a AS other FROM ways UNION SELECT r.id, w.b FROM reach r JOIN ways w ON w.a = r.other)
+SELECT id, min(other) AS group_id FROM reach GROUP BY id""",
+}
