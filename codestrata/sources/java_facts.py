@@ -41,12 +41,16 @@ class _Source:
     def __init__(self, text: str):
         self.text = text
         self.tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text) if m.lastgroup != "comment"]
+        self.words = [w[1] for w in self.tokens] + [""] * 8  # none beyond the end, nor before the first
         self.classes: list[dict] = []
         self.stop = len(self.tokens)
         self.ends = self.braces()
 
     def word(self, k: int) -> str:
-        return self.tokens[k][1] if 0 <= k < len(self.tokens) else ""
+        try:
+            return self.words[k]
+        except IndexError:
+            return ""
 
     def span(self, a: int, b: int) -> str:
         return self.text[self.tokens[a][2] : self.tokens[min(b, len(self.tokens)) - 1][3]] if a < b else ""
@@ -54,10 +58,10 @@ class _Source:
     def braces(self) -> dict[int, tuple[int, int]]:
         """Of each opening brace, where its inside ends and the place behind."""
         ends, open_ = {}, []
-        for k in range(len(self.tokens)):
-            if self.word(k) == "{":
+        for k, word in enumerate(self.words):
+            if word == "{":
                 open_.append(k)
-            elif self.word(k) == "}":
+            elif word == "}":
                 if not open_:
                     return self.mended_braces()
                 ends[open_.pop()] = (k, k + 1)
@@ -224,9 +228,9 @@ class _Source:
 
     def shape(self, a: int, b: int) -> str:
         """Digest of the structure: names and literals are only kinds, modifiers and annotations don't count."""
-        out, k = [], a
+        out, k, tokens = [], a, self.tokens
         while k < b:
-            kind, word = self.tokens[k][:2]
+            kind, word = tokens[k][0], tokens[k][1]
             if word == "@" and self.word(k + 1) != "interface":
                 k = self.left_open(k)
                 continue
@@ -336,8 +340,8 @@ class _Source:
         """(receiver, name, arguments) of calls; the receiver is '' behind another call or bracket, null for the class's own."""
         out = []
         for k in range(a, b):
-            kind, word = self.tokens[k][:2]
-            if kind == "name" and self.word(k + 1) == "(" and word not in NO_CALL and self.word(k - 1) != "new":
+            word = self.words[k]
+            if self.words[k + 1] == "(" and self.tokens[k][0] == "name" and word not in NO_CALL and self.word(k - 1) != "new":
                 receiver = None
                 if self.word(k - 1) == ".":
                     receiver = self.word(k - 2) if self.tokens[k - 2][0] == "name" and (self.word(k - 3) != "." or self.word(k - 4) == "this" or self.word(k - 2)[:1].isupper()) else ""
@@ -348,7 +352,7 @@ class _Source:
         """(receiver, field) where a field of this, of a variable or of a class is read or written."""
         out = []
         for k in range(a + 2, b):
-            if self.tokens[k][0] == "name" and self.word(k - 1) == "." and self.tokens[k - 2][0] == "name" and self.word(k - 3) != "." and self.word(k + 1) != "(" and self.word(k) not in ("class", "this", "super", "new"):
+            if self.words[k - 1] == "." and self.tokens[k][0] == "name" and self.tokens[k - 2][0] == "name" and self.word(k - 3) != "." and self.word(k + 1) != "(" and self.word(k) not in ("class", "this", "super", "new"):
                 out.append((self.word(k - 2), self.word(k)))
         return list(dict.fromkeys(out))
 
