@@ -304,6 +304,44 @@ def test_closure_with_text_ids_and_ties(spark):
     assert out["a", "d"] == (2, [("b", "USE"), ("d", "CALL")])  # of two ways the smallest (type, predecessor)
 
 
+def wide(spark):
+    """150 seeds and a hub of 300 steps each way, chains out of it with ties and loops; (seeds, rels, nodes with an id twice)."""
+    rels = [(k, 1000, "CALL") for k in range(300)] + [(1000, 2000 + k, ("USE", "CALL", "IMPLEMENT")[k % 3]) for k in range(300)]
+    rels += [(2000 + k, 2000 + (k * 7 + 1) % 300, "CALL") for k in range(300)] + [(2000 + k, 3000 + k % 5, "USE") for k in range(300)] + [(3000, 3001, "CALL"), (3000, 3001, "USE"), (3001, 3001, "CALL"), (3002, 5, "EXTEND")]
+    rels += [(None, 1, "CALL"), (1, None, "CALL"), (5, 6, None), (6, 7, "OTHER")]
+    r = spark.createDataFrame(rels, "src long, dst long, type string")
+    n = spark.createDataFrame([(k, None if k % 2 else f"m{k}", ("main", "develop", None)[k % 3]) for k in [*range(300), 1000, *range(2000, 2300), *range(3000, 3004), 2004]], "node_id long, method_name string, branch string")
+    return spark.createDataFrame([(k,) for k in [*range(0, 300, 2), 9999]], "node_id long"), r, n
+
+
+def heaviest(spark, run):
+    """What run() returns, collected, and the rows of the largest checkpoint that it made."""
+    rows, kept = [], traverse.cut
+
+    def counted(df):
+        out = kept(df)
+        rows.append(out.count())
+        return out
+
+    traverse.cut = counted
+    try:
+        return sorted(map(tuple, run().collect()), key=str), max(rows)
+    finally:
+        traverse.cut = kept
+
+
+def test_summaries_keep_nothing_per_pair(spark):
+    seeds, rels, _ = wide(spark)
+    found, rows = heaviest(spark, lambda: traverse.summaries(seeds, rels, max_level=6))
+    steps = traverse.directed(rels, traverse.DOWNSTREAM)
+    joined = traverse.summary(traverse._by_levels(seeds, steps, 1, 6, True))
+    assert found == sorted(map(tuple, joined.collect()), key=str) and len(found) > 20_000 and rows < 3_000
+    out = traverse.summaries(seeds, rels, min_level=0, max_level=1).where("seed in (0, 9999)").collect()
+    assert sorted((r.seed, r.node, r.total_length, r.summary) for r in out) == [(0, 0, 0, ""), (0, 1000, 1, "CALL:1000"), (9999, 9999, 0, "")]
+    paths, rows = heaviest(spark, lambda: traverse.closure(seeds, rels, traverse.UPSTREAM, 0, 6, with_path=True))
+    assert paths == sorted(map(tuple, traverse._by_levels(seeds, traverse.directed(rels, traverse.UPSTREAM), 0, 6, True).collect()), key=str) and rows < 3_000
+
+
 def test_stream(spark, tmp_path):
     from codestrata.streaming.imports import import_stream, stream_chunks
 
