@@ -342,6 +342,14 @@ def test_summaries_keep_nothing_per_pair(spark):
     assert paths == sorted(map(tuple, traverse._by_levels(seeds, traverse.directed(rels, traverse.UPSTREAM), 0, 6, True).collect()), key=str) and rows < 3_000
 
 
+def test_visits_keep_nothing_per_pair(spark):
+    seeds, rels, nodes = wide(spark)
+    nodes = nodes.where("node_id <> 2010")  # a step into a node without a row doesn't count
+    found, rows = heaviest(spark, lambda: traverse.visits(seeds, rels, nodes, max_level=6))
+    joined = traverse.visited(traverse._by_levels(seeds, traverse.directed(rels, traverse.DOWNSTREAM), 1, 6, True), nodes)
+    assert found == sorted(map(tuple, joined.collect()), key=str) and len(found) > 20_000 and rows < 3_000
+
+
 def test_stream(spark, tmp_path):
     from codestrata.streaming.imports import import_stream, stream_chunks
 
