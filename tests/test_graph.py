@@ -350,6 +350,14 @@ def test_visits_keep_nothing_per_pair(spark):
     assert found == sorted(map(tuple, joined.collect()), key=str) and len(found) > 20_000 and rows < 3_000
 
 
+def test_downstream_closure_keeps_nothing_per_pair(spark):
+    _, rels, nodes = wide(spark)
+    seeds = nodes.select("node_id")
+    found, rows = heaviest(spark, lambda: traverse.closure(seeds, rels, min_level=0, max_level=6))
+    assert found == sorted(map(tuple, traverse._by_levels(seeds, traverse.directed(rels, traverse.DOWNSTREAM), 0, 6, False).collect()), key=str)
+    assert len(found) > 20_000 and rows < 1_600  # the steps; by levels it was a row per node and 64 seeds
+
+
 def test_stream(spark, tmp_path):
     from codestrata.streaming.imports import import_stream, stream_chunks
 
