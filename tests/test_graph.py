@@ -358,6 +358,14 @@ def test_downstream_closure_keeps_nothing_per_pair(spark):
     assert len(found) > 20_000 and rows < 1_600  # the steps; by levels it was a row per node and 64 seeds
 
 
+def test_upstream_closure_keeps_nothing_per_pair(spark):
+    _, rels, nodes = wide(spark)
+    seeds = nodes.select("node_id")
+    found, rows = heaviest(spark, lambda: traverse.closure(seeds, rels, traverse.UPSTREAM, max_level=6))
+    assert found == sorted(map(tuple, traverse._by_levels(seeds, traverse.directed(rels, traverse.UPSTREAM), 1, 6, False).collect()), key=str)
+    assert len(found) > 20_000 and rows < 1_600
+
+
 def test_stream(spark, tmp_path):
     from codestrata.streaming.imports import import_stream, stream_chunks
 
